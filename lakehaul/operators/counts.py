@@ -75,15 +75,14 @@ def count_tables(
     """
     names = [table_name(spark, ref) for ref in refs]
     groups = [names[at : at + tables_per_job] for at in range(0, len(names), tables_per_job)]
-    counts: list[int | None] = []
-    for group in groups:
+
+    def count(group: Sequence[str]) -> list[int | None]:
         try:
-            counts += _count_together(spark, group)
+            return _count_together(spark, group)
         except Exception:
-            counts += in_threads(
-                spark, lambda name: _count_alone(spark, name), group, parallelism
-            )
-    return counts
+            return in_threads(spark, lambda name: _count_alone(spark, name), group, parallelism)
+
+    return [count for counts in in_threads(spark, count, groups, parallelism) for count in counts]
 
 
 def check_counts(spark: SparkSession, source: TableRef, target: TableRef) -> int:

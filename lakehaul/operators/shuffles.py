@@ -1,0 +1,43 @@
+"""Shuffle width for one action, from the size of its input."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame
+
+SETTING = "spark.sql.shuffle.partitions"
+BYTES_PER_PARTITION = 1 << 30
+MOST_PARTITIONS = 50_000
+# Spark's stand-in for an input of unknown size is far above any real one.
+UNKNOWN_BYTES = 1 << 60
+
+
+@contextmanager
+def wide_enough(df: DataFrame) -> Iterator[None]:
+    """Raises the session's shuffle partitions while one large frame is written.
+
+    The usual fixed number would give every task hundreds of gigabytes of a very
+    large table.  The setting is only ever raised, and small partitions are merged
+    again by adaptive execution.  Other queries planned meanwhile see it too; it
+    changes their width, not their rows.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(SETTING)
+    wanted = min(MOST_PARTITIONS, -(-input_bytes(df) // BYTES_PER_PARTITION))
+    if wanted <= int(before):
+        yield
+        return
+    conf.set(SETTING, str(wanted))
+    try:
+        yield
+    finally:
+        conf.set(SETTING, before)
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files and tables a frame reads, as far as Spark knows them."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(at).stats().sizeInBytes()) for at in range(leaves.size())]
+    return sum(size for size in sizes if size < UNKNOWN_BYTES)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from lakehaul.names import TableRef
 from lakehaul.operators.precombine import precombine, require_record_keys
+from lakehaul.operators.shuffles import wide_enough
 from lakehaul.sinks.files import write_folder
 from lakehaul.sinks.tables import Written, register_folder, replace_table
 
@@ -26,7 +27,8 @@ def keyed_write(
     has started; ``keyed_replace`` keeps them until the new rows are checked.
     """
     latest = _latest(df, keys, order_by, ties)
-    rows = write_folder(latest, path, mode="overwrite")
+    with wide_enough(latest):
+        rows = write_folder(latest, path, mode="overwrite")
     if register_as and not register_folder(df.sparkSession, register_as, path, latest.schema):
         raise ValueError(f"{register_as} exists and reads another folder than {path}")
     return rows
@@ -41,7 +43,9 @@ def keyed_replace(
     provider: str | None = None,
 ) -> Written:
     """The same into a catalog table, which keeps its old rows if the job fails."""
-    return replace_table(_latest(df, keys, order_by, ties), target, provider)
+    latest = _latest(df, keys, order_by, ties)
+    with wide_enough(latest):
+        return replace_table(latest, target, provider)
 
 
 def _latest(

@@ -19,6 +19,7 @@ from lakehaul.catalog import (
     describe_table,
     drop_tables,
     list_tables,
+    set_current_database,
     set_table_properties,
     table_properties,
 )
@@ -205,6 +206,18 @@ def sql_table_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_sql(spark, Scratch(spark, sf_dir).register("lineitem"))
 
 
+def current_database_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table found by its bare name in the current database."""
+    scratch = Scratch(spark, sf_dir)
+    scratch.register("conversations")
+    before = spark.catalog.currentDatabase()
+    set_current_database(spark, "work", scratch.catalog("lake"))
+    try:
+        return spark.table("conversations")
+    finally:
+        spark.catalog.setCurrentDatabase(before)
+
+
 def create_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, sf_dir)
     return create_append_read(scratch.given("customer"), scratch.table("customer")).data
@@ -543,6 +556,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "temp_view_scan": temp_view_scan,
     "table_scan": table_scan,
     "sql_table_scan": sql_table_scan,
+    "current_database_scan": current_database_scan,
     "create_append_read": create_append,
     "append_twice": append_twice,
     "literal_rows_append": literal_rows_append,
@@ -624,12 +638,12 @@ def _each(template: str, databases: dict[str, tuple[str, ...]]) -> list[str]:
     ]
 
 
-def _columns(table: str, columns: dict[str, str], counts: str, name: str) -> str:
-    """Column rows with a count beside them."""
+def _columns(columns: dict[str, str], name: str, counts: list[str]) -> str:
+    """Column rows with counts beside them."""
     values = ", ".join(f"('{column}', '{kind}')" for column, kind in columns.items())
     return (
-        f"SELECT {name}, data_type, {counts} FROM (VALUES {values}) AS c({name}, data_type), "
-        f"(SELECT count(*) AS n FROM {table}) AS t"
+        f"SELECT {name}, data_type, {', '.join(counts)} "
+        f"FROM (VALUES {values}) AS c({name}, data_type)"
     )
 
 
@@ -660,6 +674,7 @@ ORACLE: dict[str, str] = {
     "temp_view_scan": f"SELECT *, {STAMP} FROM lineitem",
     "table_scan": "SELECT * FROM events",
     "sql_table_scan": "SELECT * FROM lineitem",
+    "current_database_scan": "SELECT * FROM conversations",
     "create_append_read": "SELECT * FROM customer",
     "append_twice": "SELECT * FROM part UNION ALL SELECT * FROM part",
     "literal_rows_append": """
@@ -679,7 +694,9 @@ ORACLE: dict[str, str] = {
     "current_timestamp_once": """
         SELECT count(*) AS n_rows, CAST(1 AS BIGINT) AS n_times FROM orders""",
     "empty_clone": _columns(
-        "part", PART_TYPES, "CAST(0 AS BIGINT) AS rows_before, n AS rows_after", "column_name"
+        PART_TYPES,
+        "column_name",
+        ["CAST(0 AS BIGINT) AS rows_before", "(SELECT count(*) FROM part) AS rows_after"],
     ),
     "empty_clone_at_location": """
         SELECT CAST(0 AS BIGINT) AS rows_before, count(*) AS rows_after FROM customer""",
@@ -689,14 +706,15 @@ ORACLE: dict[str, str] = {
         SELECT 'frame' AS api, count(*) AS cnt FROM lineitem
         UNION ALL SELECT 'sql', count(*) FROM lineitem""",
     "first_n": "SELECT * FROM orders ORDER BY o_orderkey LIMIT 5",
-    "describe_table": _columns("orders", ORDERS_TYPES, "n AS n_rows", "col_name"),
+    "describe_table": _columns(
+        ORDERS_TYPES, "col_name", ["(SELECT count(*) FROM orders) AS n_rows"]
+    ),
     "drop_cleanup": """SELECT 'supplier' AS "table", count(*) AS cnt FROM supplier""",
     "table_properties": """
-        SELECT key, value, n_rows
+        SELECT key, value, (SELECT count(*) FROM supplier) AS n_rows
         FROM (VALUES ('write.format.default', 'parquet'),
                      ('write.parquet.compression-codec', 'snappy'),
-                     ('write.metadata.compression-codec', 'gzip')) AS p(key, value),
-             (SELECT count(*) AS n_rows FROM supplier) AS t""",
+                     ('write.metadata.compression-codec', 'gzip')) AS p(key, value)""",
     "precombine_latest": LATEST_EVENTS,
     "keyed_write_read": LATEST_EVENTS,
     "keyed_registered_read": LATEST_EVENTS,

@@ -10,7 +10,7 @@ import argparse
 import logging
 from collections.abc import Sequence
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from lakehaul.catalog import create_database, drop_database, drop_tables
 from lakehaul.names import TableRef
@@ -26,8 +26,6 @@ from lakehaul.plans import (
 )
 from lakehaul.sources import read_table
 
-REPORT_ROWS = 10_000
-
 
 def parser() -> argparse.ArgumentParser:
     root = argparse.ArgumentParser(prog="lakehaul", description=__doc__)
@@ -127,13 +125,18 @@ def _migrate(spark: SparkSession, given: argparse.Namespace) -> None:
         given.provider,
         given.parallelism,
     )
-    done.report.show(REPORT_ROWS, truncate=False)
-    done.durations.show(REPORT_ROWS, truncate=False)
+    _show_all(done.report)
+    _show_all(done.durations)
 
 
 def _inventory(spark: SparkSession, given: argparse.Namespace) -> None:
     """all tables of a catalog with their row counts"""
-    catalog_inventory(spark, given.catalog).show(REPORT_ROWS, truncate=False)
+    _show_all(catalog_inventory(spark, given.catalog))
+
+
+def _show_all(report: DataFrame) -> None:
+    """Reports have a row per table or database and are local already."""
+    report.show(report.count(), truncate=False)
 
 
 def _clean(spark: SparkSession, given: argparse.Namespace) -> None:

@@ -1,6 +1,6 @@
 """DataFrame to DataFrame steps, and counts that ride on a write."""
 
-from lakehaul.operators.columns import empty_like, schema_rows, with_load_time
+from lakehaul.operators.columns import empty_like, optional, schema_rows, with_load_time
 from lakehaul.operators.counts import (
     CountMismatch,
     CountedWrite,
@@ -19,6 +19,7 @@ __all__ = [
     "count_tables",
     "empty_like",
     "first_rows",
+    "optional",
     "precombine",
     "require_columns",
     "require_record_keys",

@@ -4,7 +4,15 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType, StructField, StructType
+from pyspark.sql.types import (
+    ArrayType,
+    BooleanType,
+    DataType,
+    MapType,
+    StringType,
+    StructField,
+    StructType,
+)
 
 from lakehaul.functions import load_time
 from lakehaul.sources.rows import report_rows
@@ -37,3 +45,16 @@ def schema_rows(df: DataFrame) -> DataFrame:
         [(field.name, field.dataType.simpleString(), field.nullable) for field in df.schema],
         SCHEMA_ROWS,
     )
+
+
+def optional(kind: DataType) -> DataType:
+    """The same type with nulls allowed everywhere, as tables made from queries have it."""
+    if isinstance(kind, StructType):
+        return StructType(
+            [StructField(f.name, optional(f.dataType), True, f.metadata) for f in kind]
+        )
+    if isinstance(kind, ArrayType):
+        return ArrayType(optional(kind.elementType))
+    if isinstance(kind, MapType):
+        return MapType(optional(kind.keyType), optional(kind.valueType))
+    return kind

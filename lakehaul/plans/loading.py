@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from lakehaul.catalog import create_database, register_view
 from lakehaul.names import TableRef
-from lakehaul.operators import with_load_time
+from lakehaul.operators import optional, with_load_time
 from lakehaul.sinks import append_table, create_table, insert_values, register_folder, write_folder
 from lakehaul.sources import read_csv, read_folder, read_sql, read_table
 from lakehaul.storage import folder_exists
@@ -75,7 +75,7 @@ def create_append_read(
 ) -> Loaded:
     """Declares the table if missing, appends the rows, reads the table back."""
     spark = df.sparkSession
-    create_table(spark, target, columns or df.schema, provider, location)
+    create_table(spark, target, columns or optional(df.schema), provider, location)
     return Loaded(append_table(df, target), read_table(spark, target))
 
 

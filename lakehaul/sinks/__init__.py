@@ -1,6 +1,6 @@
 """Writers: Parquet folders, tables, keyed tables."""
 
-from lakehaul.sinks.files import write_folder
+from lakehaul.sinks.files import replace_folder, write_folder
 from lakehaul.sinks.keyed import keyed_replace, keyed_write
 from lakehaul.sinks.tables import (
     append_table,
@@ -19,6 +19,7 @@ __all__ = [
     "keyed_replace",
     "keyed_write",
     "register_folder",
+    "replace_folder",
     "replace_table",
     "write_folder",
 ]

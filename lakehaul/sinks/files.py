@@ -1,16 +1,34 @@
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 
 from lakehaul.operators.counts import CountedWrite
+from lakehaul.storage import delete_folder, swap_in
 
 
-def write_folder(df: DataFrame, path: str, mode: str = "errorifexists", **options) -> int:
-    """Writes a Parquet folder and returns the number of rows written.
+def write_folder(df: DataFrame, path: str, **options) -> int:
+    """Writes a new Parquet folder and returns the number of rows written.
 
-    The default refuses a folder that exists.  ``overwrite`` removes the old files
-    before the job starts.
+    A folder that exists is refused.
     """
     counted = CountedWrite(df)
-    counted.rows.write.mode(mode).options(**options).parquet(path)
+    counted.rows.write.mode("errorifexists").options(**options).parquet(path)
     return counted.count()
+
+
+def replace_folder(df: DataFrame, path: str, **options) -> int:
+    """Writes a Parquet folder over one that may exist; returns the rows written.
+
+    Spark's own overwrite deletes the old files first, even those that ``df`` reads.
+    Here the rows are written beside them, and a failed write changes nothing.
+    """
+    fresh = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    try:
+        rows = write_folder(df, fresh, **options)
+    except Exception:
+        delete_folder(df.sparkSession, fresh)
+        raise
+    swap_in(df.sparkSession, fresh, path.rstrip("/"))
+    return rows

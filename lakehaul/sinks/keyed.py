@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from lakehaul.names import TableRef
 from lakehaul.operators.precombine import precombine, require_record_keys
 from lakehaul.operators.shuffles import wide_enough
-from lakehaul.sinks.files import write_folder
+from lakehaul.sinks.files import replace_folder
 from lakehaul.sinks.tables import Written, register_folder, replace_table
 
 
@@ -23,12 +23,13 @@ def keyed_write(
 ) -> int:
     """Writes the latest row per key to a folder and returns the row count.
 
-    Rows already in the folder are replaced, not merged, and are gone once the job
-    has started; ``keyed_replace`` keeps them until the new rows are checked.
+    Rows already in the folder are replaced, not merged.  The folder gets its name
+    by a rename; where that copies the data, as on an object store, ``keyed_replace``
+    is the cheaper one.
     """
     latest = _latest(df, keys, order_by, ties)
     with wide_enough(latest):
-        rows = write_folder(latest, path, mode="overwrite")
+        rows = replace_folder(latest, path)
     if register_as and not register_folder(df.sparkSession, register_as, path, latest.schema):
         raise ValueError(f"{register_as} exists and reads another folder than {path}")
     return rows
@@ -42,7 +43,7 @@ def keyed_replace(
     ties: Sequence[str] | None = None,
     provider: str | None = None,
 ) -> Written:
-    """The same into a catalog table, which keeps its old rows if the job fails."""
+    """The same into a catalog table; only the table's location changes."""
     latest = _latest(df, keys, order_by, ties)
     with wide_enough(latest):
         return replace_table(latest, target, provider)

@@ -29,6 +29,25 @@ def delete_folder(spark: SparkSession, folder: str) -> None:
     files.delete(path, True)
 
 
+def swap_in(spark: SparkSession, fresh: str, folder: str) -> None:
+    """Gives a written folder the name of another one, which is deleted afterwards.
+
+    Two renames: cheap on a file system, a copy of the data on an object store.
+    """
+    files, path = _open(spark, folder)
+    _, fresh_path = _open(spark, fresh)
+    _, aside = _open(spark, f"{folder}.old-{uuid.uuid4().hex}")
+    replaced = files.exists(path)
+    if replaced and not files.rename(path, aside):
+        raise OSError(f"cannot move {folder}")
+    if not files.rename(fresh_path, path):
+        if replaced:
+            files.rename(aside, path)
+        raise OSError(f"cannot move {fresh} to {folder}")
+    if replaced:
+        files.delete(aside, True)
+
+
 def same_folder(spark: SparkSession, left: str, right: str) -> bool:
     """Compares two folders after adding the file system each one defaults to."""
     (left_files, left_path), (right_files, right_path) = _open(spark, left), _open(spark, right)

@@ -39,13 +39,14 @@ def test_one_odd_value_makes_an_inferred_column_text(spark, tmp_path):
 
 def test_text_with_line_breaks(spark, given, tmp_path):
     documents = given("documents")
-    write = documents.write.option("header", True).option("escape", '"')
+    assert not documents.where("text LIKE '%\\n%'").isEmpty()
+    whole = {"multiLine": True, "escape": '"', "lineSep": "\n"}
+    spaces = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    write = documents.write.option("header", True).options(escape='"', **spaces)
     write.csv(str(tmp_path / "csv"))
-    read = read_csv(
-        spark, str(tmp_path / "csv"), documents.schema, multiLine=True, escape='"',
-        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, lineSep="\n",
-    )
+    read = read_csv(spark, str(tmp_path / "csv"), documents.schema, **whole, **spaces)
     assert read.count() == documents.count()
+    assert read.exceptAll(documents).isEmpty()
 
 
 def test_csv_to_parquet(spark, given, tmp_path):

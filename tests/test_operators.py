@@ -9,6 +9,7 @@ from lakehaul.operators import (
     CountedWrite,
     empty_like,
     first_rows,
+    optional,
     precombine,
     require_columns,
     require_record_keys,
@@ -17,7 +18,7 @@ from lakehaul.operators import (
     with_load_time,
 )
 from lakehaul.operators.shuffles import SETTING, input_bytes, wide_enough
-from tests.conftest import CHANGES, DATA
+from tests.conftest import CHANGES
 
 
 def plan_of(df) -> str:
@@ -144,5 +145,9 @@ def test_shuffle_width_ignores_inputs_of_unknown_size(spark, changes):
         assert spark.conf.get(SETTING) == before
 
 
-def test_nested_columns_pass_through(spark):
-    assert "array" in spark.read.parquet(f"{DATA}/embeddings.parquet").schema.simpleString()
+def test_optional_allows_nulls_at_every_level(spark):
+    strict = spark.sql("SELECT 1 AS a, array(named_struct('b', 2)) AS c, map('k', 3) AS d").schema
+    assert "NOT NULL" in strict.toDDL()
+    loose = optional(strict)
+    assert "NOT NULL" not in loose.toDDL()
+    assert loose.simpleString() == strict.simpleString()

@@ -299,6 +299,23 @@ def test_keyed_write_checks_its_columns_first(spark, changes, lake):
     assert read_folder(spark, path).count() == 3
 
 
+def test_keyed_write_may_read_its_own_folder(spark, given, lake):
+    path = f"{lake.folder}/keyed"
+    given("orders").write.parquet(path)
+    keyed_write(read_folder(spark, path), path, ["o_orderkey"], "o_orderdate")
+    assert rows(read_folder(spark, path)) == rows(given("orders"))
+    assert sorted(os.listdir(lake.folder)) == ["keyed"]
+
+
+def test_failed_keyed_write_keeps_the_old_rows(spark, given, lake):
+    path = f"{lake.folder}/keyed"
+    keyed_write(given("orders"), path, ["o_orderkey"], "o_orderdate")
+    with pytest.raises(Exception, match="cannot read"):
+        keyed_write(broken(spark, given), path, ["o_orderkey"], "o_orderdate")
+    assert rows(read_folder(spark, path)) == rows(given("orders"))
+    assert sorted(os.listdir(lake.folder)) == ["keyed"]
+
+
 def test_keyed_write_registers_only_its_own_folder(spark, changes, lake):
     target = lake.table("keyed")
     keyed_write(changes, f"{lake.folder}/a", ["id"], "last_update_time", register_as=target)

@@ -70,7 +70,16 @@ def migrate_database(
     A table that fails does not stop the others.  Raises only if the target
     database cannot be created or the tables cannot be listed.
     """
-    rows = _copy_tables(spark, database, source_catalog, target_catalog, provider, parallelism)
+    tables = _prepare(spark, database, source_catalog, target_catalog)
+    copied = _copy_all(
+        spark,
+        [(database, table) for table in tables],
+        source_catalog,
+        target_catalog,
+        provider,
+        parallelism,
+    )
+    rows = [copy.row for copy in copied] or [_no_table(database, COMPLETED, None)]
     return report_rows(spark, rows, REPORT)
 
 
@@ -85,66 +94,87 @@ def migrate_databases(
     """Copies the databases named in ``selector``: ``"*"``, or a list like ``"a, b"``.
 
     Databases and tables keep their names.  ``parallelism`` tables are copied at a
-    time; one at a time keeps the order of the listing.
+    time, whatever database they are in; one at a time keeps the order of the listing.
     """
     available = list_databases(spark, source_catalog)
-    report: list[tuple] = []
-    durations: list[tuple] = []
-    for database in _selected(selector, available):
+    ended: dict[str, tuple] = {}
+    listed: list[tuple[str, str]] = []
+    preparing: dict[str, float] = {}
+    for database in available if selector == "*" else _names(selector):
         started = time.monotonic()
         if database not in available:
-            rows = [_no_table(database, SKIPPED, "database not found")]
+            ended[database] = _no_table(database, SKIPPED, "database not found")
         else:
             try:
-                rows = _copy_tables(
-                    spark, database, source_catalog, target_catalog, provider, parallelism
-                )
+                tables = _prepare(spark, database, source_catalog, target_catalog)
+                listed += [(database, table) for table in tables]
+                ended[database] = _no_table(database, COMPLETED, None)
             except Exception as error:
-                rows = [_no_table(database, FAILED, message_of(error))]
-        report += rows
-        durations.append(_summary(rows, time.monotonic() - started))
+                ended[database] = _no_table(database, FAILED, message_of(error))
+        preparing[database] = time.monotonic() - started
+
+    by_database: dict[str, list[_Copied]] = {database: [] for database in ended}
+    for copy in _copy_all(spark, listed, source_catalog, target_catalog, provider, parallelism):
+        by_database[copy.row[0]].append(copy)
+    report = [
+        row
+        for database, copies in by_database.items()
+        for row in ([copy.row for copy in copies] or [ended[database]])
+    ]
+    durations = [
+        _summary(ended[database], copies, preparing[database])
+        for database, copies in by_database.items()
+    ]
     return Migration(
         report_rows(spark, report, REPORT), report_rows(spark, durations, DURATIONS)
     )
 
 
-def _selected(selector: str, available: list[str]) -> list[str]:
-    if selector == "*":
-        return available
+class _Copied(NamedTuple):
+    row: tuple
+    started: float
+    finished: float
+
+
+def _names(selector: str) -> list[str]:
     return list(dict.fromkeys(name.strip() for name in selector.split(",")))
 
 
-def _copy_tables(
+def _prepare(
+    spark: SparkSession, database: str, source_catalog: str | None, target_catalog: str | None
+) -> list[str]:
+    """Creates the target database and lists the tables to copy into it."""
+    create_database(spark, database, target_catalog)
+    tables = list_tables(spark, database, source_catalog)
+    return [listed.table for listed in tables if not listed.is_temporary]
+
+
+def _copy_all(
     spark: SparkSession,
-    database: str,
+    tables: list[tuple[str, str]],
     source_catalog: str | None,
     target_catalog: str | None,
     provider: str | None,
     parallelism: int,
-) -> list[tuple]:
-    create_database(spark, database, target_catalog)
-    tables = [
-        listed.table
-        for listed in list_tables(spark, database, source_catalog)
-        if not listed.is_temporary
-    ]
-
-    def copy(table: str) -> tuple:
-        source = TableRef(database, table, source_catalog)
-        target = TableRef(database, table, target_catalog)
+) -> list[_Copied]:
+    def copy(names: tuple[str, str]) -> _Copied:
+        started = time.monotonic()
+        source, target = TableRef(*names, source_catalog), TableRef(*names, target_catalog)
         result = try_copy_table(spark, source, target, provider)
         counts = (result.source_count, result.target_count)
-        return (database, COMPLETED, result.error, table, *counts, result.succeeded)
+        row = (names[0], COMPLETED, result.error, names[1], *counts, result.succeeded)
+        return _Copied(row, started, time.monotonic())
 
-    rows = in_threads(spark, copy, tables, parallelism)
-    return rows or [_no_table(database, COMPLETED, None)]
+    return in_threads(spark, copy, tables, parallelism)
 
 
 def _no_table(database: str, status: str, reason: str | None) -> tuple:
     return (database, status, reason, None, None, None, None)
 
 
-def _summary(rows: list[tuple], seconds: float) -> tuple:
-    database, status = rows[0][:2]
-    outcomes = [row[-1] for row in rows if row[-1] is not None]
-    return (database, status, len(outcomes), sum(outcomes), len(outcomes) - sum(outcomes), seconds)
+def _summary(ended: tuple, copies: list[_Copied], seconds: float) -> tuple:
+    """Tables of one database, and the time from its first copy to its last."""
+    successful = sum(copy.row[-1] for copy in copies)
+    if copies:
+        seconds += max(copy.finished for copy in copies) - min(copy.started for copy in copies)
+    return (*ended[:2], len(copies), successful, len(copies) - successful, seconds)

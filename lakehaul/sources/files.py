@@ -14,12 +14,15 @@ def read_csv(
 
     Without ``schema`` the types are inferred, which reads all the data once more.
     With ``schema`` there is no such pass and one odd value cannot turn a whole
-    column into text, so give it for any large folder.  ``options`` go to the
-    reader, e.g. ``sep``, ``multiLine`` and ``escape``.
+    column into text, so give it for any large folder.  Each file's header must then
+    name the schema's columns in their order; ``enforceSchema=True`` takes columns by
+    position whatever the header says.  ``options`` go to the reader, e.g. ``sep``,
+    ``multiLine`` and ``escape``.
     """
-    reader = spark.read.options(**{"header": True, **options})
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    return reader.csv(path)
+    if schema is None:
+        return spark.read.options(**{"header": True, "inferSchema": True, **options}).csv(path)
+    checked = {"header": True, "enforceSchema": False, **options}
+    return spark.read.options(**checked).schema(schema).csv(path)
 
 
 def read_folder(

@@ -37,6 +37,16 @@ def test_one_odd_value_makes_an_inferred_column_text(spark, tmp_path):
     assert sorted(row.n or 0 for row in declared.collect()) == [0, 1, 2]
 
 
+def test_header_must_name_the_given_columns(spark, tmp_path):
+    (tmp_path / "csv").mkdir()
+    (tmp_path / "csv" / "a.csv").write_text("n,d\n1,x\n")
+    (tmp_path / "csv" / "b.csv").write_text("d,n\n5,2\n")
+    folder, columns = str(tmp_path / "csv"), "n STRING, d STRING"
+    with pytest.raises(Exception, match="header"):
+        read_csv(spark, folder, columns).collect()
+    assert read_csv(spark, folder, columns, enforceSchema=True).count() == 2
+
+
 def test_text_with_line_breaks(spark, given, tmp_path):
     documents = given("documents")
     assert not documents.where("text LIKE '%\\n%'").isEmpty()

@@ -88,6 +88,12 @@ def test_replace_compares_the_counts(session):
         replace_table(RecordingFrame(recording, 3), TARGET)
 
 
+def test_a_count_that_is_off_is_taken_again(session, monkeypatch):
+    monkeypatch.setattr("lakehaul.operators.counts.CountedWrite.count", lambda self: 5)
+    recording = session(rows_found=3)
+    assert replace_table(RecordingFrame(recording, 3), TARGET) == (3, 3)
+
+
 def test_append_is_the_catalogs_own(session):
     recording = session(rows_found=6)
     assert append_table(RecordingFrame(recording, 3), TARGET) == 3

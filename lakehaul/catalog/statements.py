@@ -16,7 +16,7 @@ from lakehaul.names import (
     table_name,
     text,
 )
-from lakehaul.storage import delete_folder
+from lakehaul.storage import delete_folder, same_folder
 
 
 # Table property: the folder a table pointed to before its present one.
@@ -95,13 +95,10 @@ def table_properties(spark: SparkSession, ref: TableRef) -> DataFrame:
     return spark.sql(f"SHOW TBLPROPERTIES {table_name(spark, ref)}")
 
 
-def drop_tables(
-    spark: SparkSession, refs: Iterable[TableRef], keep: str | None = None
-) -> None:
+def drop_tables(spark: SparkSession, refs: Iterable[TableRef]) -> None:
     """Drops each table if it exists, with the folders of versions published for it.
 
-    A version folder named in ``keep`` is left: it is about to become the table
-    again.  A folder that a user registered is never deleted.
+    A folder that a user registered is never deleted.
     """
     for ref in refs:
         name = table_name(spark, ref)
@@ -109,12 +106,9 @@ def drop_tables(
             spark.sql(f"DROP TABLE IF EXISTS {name}")
         elif table_exists(spark, ref):
             old = details(spark, ref)
-            versions = versions_folder(spark, ref)
-            spark.sql(f"DROP TABLE IF EXISTS {name}")
-            delete_previous(spark, old)
-            if not keep:
-                delete_folder(spark, versions)
-            elif old["location"].startswith(versions + "/"):
+            spark.sql(f"DROP TABLE {name}")
+            delete_previous(spark, ref, old)
+            if is_version(spark, ref, old["location"]):
                 delete_folder(spark, old["location"])
 
 
@@ -124,10 +118,16 @@ def details(spark: SparkSession, ref: TableRef) -> dict:
     return json.loads(row[0])
 
 
-def delete_previous(spark: SparkSession, details: dict) -> None:
-    """Deletes the version that the described table pointed to before its present one."""
+def delete_previous(spark: SparkSession, ref: TableRef, details: dict) -> None:
+    """Deletes the version that the described table pointed to before its present one.
+
+    Its folder is taken from a table property, so it must lie where this table's own
+    folders lie and not be in use.
+    """
     previous = details.get("table_properties", {}).get(PREVIOUS)
-    if previous:
+    if not previous or same_folder(spark, previous, details["location"]):
+        return
+    if is_version(spark, ref, previous) or is_default_folder(spark, ref, previous):
         delete_folder(spark, previous)
 
 
@@ -136,6 +136,15 @@ def versions_folder(spark: SparkSession, ref: TableRef) -> str:
     return f"{database_folder(spark, ref)}/{ref.table}.versions"
 
 
+def is_version(spark: SparkSession, ref: TableRef, folder: str) -> bool:
+    return folder.startswith(versions_folder(spark, ref) + "/")
+
+
+def is_default_folder(spark: SparkSession, ref: TableRef, folder: str) -> bool:
+    """True for the folder Spark gives a managed table of this name."""
+    return same_folder(spark, folder, f"{database_folder(spark, ref)}/{ref.table}")
+
+
 def database_folder(spark: SparkSession, ref: TableRef) -> str:
     database = spark.catalog.getDatabase(database_name(spark, ref.database, ref.catalog))
     return unquote(database.locationUri).rstrip("/")

@@ -9,7 +9,7 @@ from pyspark.sql.types import BooleanType, LongType, StringType, StructField, St
 
 from lakehaul.catalog import ListedTable, list_databases, list_tables
 from lakehaul.names import TableRef
-from lakehaul.operators.counts import TABLES_PER_JOB, count_tables
+from lakehaul.operators.counts import TABLES_PER_JOB, count_tables, in_threads
 from lakehaul.plans.copies import message_of
 from lakehaul.sources.rows import report_rows
 
@@ -35,13 +35,13 @@ def catalog_inventory(
 
     Temporary views are listed with their flag and not counted, since they belong
     to no database.  A database without tables, or whose tables cannot be listed,
-    is one row with no table.
+    is one row with no table.  ``parallelism`` listings or count jobs run at a time.
     """
-    listed = [
-        (database, entry)
-        for database in list_databases(spark, catalog)
-        for entry in _entries(spark, database, catalog)
-    ]
+    databases = list_databases(spark, catalog)
+    entries = in_threads(
+        spark, lambda database: _entries(spark, database, catalog), databases, parallelism
+    )
+    listed = [(database, entry) for database, of in zip(databases, entries) for entry in of]
     stored = [
         TableRef(database, entry.table, catalog)
         for database, entry in listed

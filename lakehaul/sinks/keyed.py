@@ -30,8 +30,10 @@ def keyed_write(
     latest = _latest(df, keys, order_by, ties)
     with wide_enough(latest):
         rows = replace_folder(latest, path)
-    if register_as and not register_folder(df.sparkSession, register_as, path, latest.schema):
-        raise ValueError(f"{register_as} exists and reads another folder than {path}")
+    if register_as:
+        spark, schema = df.sparkSession, latest.schema
+        if not register_folder(spark, register_as, path, schema, renew=True):
+            raise ValueError(f"{register_as} exists and reads another folder than {path}")
     return rows
 
 

@@ -19,10 +19,11 @@ from pyspark.sql.types import StructType
 
 from lakehaul.catalog.statements import (
     PREVIOUS,
-    database_folder,
     delete_previous,
     details,
     drop_tables,
+    is_default_folder,
+    is_version,
     set_table_properties,
     table_exists,
     versions_folder,
@@ -140,16 +141,25 @@ def register_folder(
     path: str,
     schema: StructType,
     provider: str = DEFAULT_PROVIDER,
+    renew: bool = False,
 ) -> bool:
     """An external table over a folder already written; no data is read or copied.
 
-    An existing table is left alone.  Returns whether the table reads ``path``.
+    An existing table is left alone.  With ``renew`` it is declared anew if it reads
+    ``path`` under other columns.  Returns whether the table reads ``path``.
     """
     if not table_exists(spark, target):
         create_table(spark, target, optional(schema), provider, path)
         return True
-    spark.catalog.refreshTable(table_name(spark, target))
-    return same_folder(spark, details(spark, target)["location"], path)
+    name = table_name(spark, target)
+    spark.catalog.refreshTable(name)
+    old = details(spark, target)
+    if not same_folder(spark, old["location"], path):
+        return False
+    if renew and old["type"] == "EXTERNAL" and _shape(spark.table(name).schema) != _shape(schema):
+        spark.sql(f"DROP TABLE {name}")
+        create_table(spark, target, optional(schema), provider, path)
+    return True
 
 
 def _replace_in_plugin(df: DataFrame, target: TableRef, provider: str | None) -> Written:
@@ -181,21 +191,19 @@ def _publish(
     same_shape = old is not None and _same_shape(spark, name, old, schema, provider)
     if not same_shape:
         if old:
-            drop_tables(spark, [target], keep=location)
+            drop_tables(spark, [target])
         spark.catalog.createTable(name, source=provider, schema=schema)
     spark.sql(f"ALTER TABLE {name} SET LOCATION {text(location)}")
     if same_shape:
         retired = old["location"] if _is_own_folder(spark, target, old) else ""
         set_table_properties(spark, target, {PREVIOUS: retired})
-        delete_previous(spark, old)
+        delete_previous(spark, target, old)
 
 
 def _is_own_folder(spark: SparkSession, target: TableRef, old: dict) -> bool:
     """True for a version folder or a managed table's folder, not for one a user registered."""
-    if old["location"].startswith(versions_folder(spark, target) + "/"):
-        return True
-    default = f"{database_folder(spark, target)}/{target.table}"
-    return old["type"] == "MANAGED" and same_folder(spark, old["location"], default)
+    managed = old["type"] == "MANAGED" and is_default_folder(spark, target, old["location"])
+    return managed or is_version(spark, target, old["location"])
 
 
 def _same_shape(

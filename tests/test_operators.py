@@ -2,6 +2,9 @@ import time
 from datetime import datetime
 
 import pytest
+from hypothesis import HealthCheck, settings
+from hypothesis import given as given_rows
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lakehaul.functions import insert_time
@@ -100,6 +103,35 @@ def test_precombine_with_a_hot_key_against_brute_force(spark, given):
     assert {tuple(row) for row in unnamed.collect()} == wanted
 
 
+@settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
+@given_rows(
+    st.lists(
+        st.tuples(
+            st.one_of(st.none(), st.integers(0, 3)),
+            st.one_of(st.none(), st.integers(0, 2)),
+            st.text("ab", max_size=2),
+        ),
+        min_size=1,
+        max_size=40,
+    ),
+    st.integers(1, 5),
+)
+def test_precombine_of_any_rows(spark, rows, partitions):
+    frame = spark.createDataFrame(rows, "key int, at int, name string").repartition(partitions)
+    best = {}
+    for key, at, name in rows:
+        rank = (at is not None, at or 0, name)
+        best[key] = max(best.get(key, rank), rank)
+    kept = {row.key: (row.at is not None, row.at or 0, row.name) for row in named(frame)}
+    assert kept == best
+
+
+def named(frame):
+    kept = precombine(frame, ["key"], "at").collect()
+    assert len({row.key for row in kept}) == len(kept)
+    return kept
+
+
 def test_precombine_ranks_before_the_shuffle(given):
     plan = plan_of(precombine(given("events"), ["user_id"], "ts", ["event_id"]))
     final, partial = plan.split("Exchange", 1)

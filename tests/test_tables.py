@@ -16,7 +16,7 @@ from lakehaul.catalog import (
     table_exists,
     table_properties,
 )
-from lakehaul.catalog.statements import details
+from lakehaul.catalog.statements import PREVIOUS, details
 from lakehaul.names import database_name
 from lakehaul.operators import CountMismatch, check_counts, count_tables
 from lakehaul.plans import create_append_read, create_insert_read, keyed_load
@@ -299,6 +299,30 @@ def test_keyed_write_checks_its_columns_first(spark, changes, lake):
     assert read_folder(spark, path).count() == 3
 
 
+def test_keyed_write_with_other_columns_renews_the_table(spark, changes, lake):
+    target, path = lake.table("keyed"), f"{lake.folder}/keyed"
+    keyed_write(changes, path, ["id"], "last_update_time", register_as=target)
+    wider = changes.withColumn("source", F.lit("crm"))
+    keyed_write(wider, path, ["id"], "last_update_time", register_as=target)
+    assert read_table(spark, target).columns == wider.columns
+    assert read_table(spark, target).where("source = 'crm'").count() == 3
+
+
+def test_a_stray_property_deletes_nothing(spark, given, lake):
+    """The folder named by a copied property belongs to another table."""
+    one, two = lake.table("one"), lake.table("two")
+    replace_table(given("nation"), one)
+    replace_table(given("nation"), two)
+    set_table_properties(spark, two, {PREVIOUS: details(spark, one)["location"]})
+    replace_table(given("nation"), two)
+    set_table_properties(spark, two, {PREVIOUS: details(spark, two)["location"]})
+    replace_table(given("nation"), two)
+    assert read_table(spark, one).count() == read_table(spark, two).count() == 25
+    set_table_properties(spark, two, {PREVIOUS: details(spark, one)["location"]})
+    drop_tables(spark, [two])
+    assert read_table(spark, one).count() == 25
+
+
 def test_keyed_write_may_read_its_own_folder(spark, given, lake):
     path = f"{lake.folder}/keyed"
     given("orders").write.parquet(path)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lakehaul.names import TableRef, table_name
 
 # Tables counted by one Spark job; keeps the plan of a large catalog small.
-TABLES_PER_JOB = 50
+TABLES_PER_JOB = 25
 
 
 class CountMismatch(ValueError):

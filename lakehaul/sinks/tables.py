@@ -36,6 +36,8 @@ from lakehaul.sources.tables import read_table
 from lakehaul.storage import delete_folder, is_empty, same_folder
 
 DEFAULT_PROVIDER = "parquet"
+# Where Spark keeps the declared type of a CHAR or VARCHAR column.
+TEXT_LENGTH = "__CHAR_VARCHAR_TYPE_STRING"
 
 
 class Written(NamedTuple):
@@ -214,8 +216,9 @@ def _same_shape(
     return plain and same_format and _shape(spark.table(name).schema) == _shape(schema)
 
 
-def _shape(schema: StructType) -> str:
-    return schema.simpleString()
+def _shape(schema: StructType) -> list[tuple[str, str]]:
+    """Column names and types; CHAR and VARCHAR, plain text to a frame, keep their length."""
+    return [(f.name, f.metadata.get(TEXT_LENGTH) or f.dataType.simpleString()) for f in schema]
 
 
 def _using(spark: SparkSession, ref: TableRef, provider: str | None) -> str:

@@ -17,7 +17,7 @@ from lakehaul.catalog import (
     table_properties,
 )
 from lakehaul.catalog.statements import PREVIOUS, details
-from lakehaul.names import database_name
+from lakehaul.names import database_name, table_name
 from lakehaul.operators import CountMismatch, check_counts, count_tables
 from lakehaul.plans import create_append_read, create_insert_read, keyed_load
 from lakehaul.sinks import (
@@ -144,6 +144,39 @@ def test_replace_of_a_managed_table_filled_by_append(spark, given, lake):
     assert read_table(spark, target).count() == 1500
 
 
+def test_replace_forgets_statistics_and_text_lengths(spark, given, lake):
+    target = lake.table("nation")
+    create_table(spark, target, "n_nationkey INT, n_name CHAR(40), n_regionkey INT")
+    append_table(given("nation"), target)
+    replace_table(given("nation"), target)
+    assert rows(read_table(spark, target)) == rows(given("nation"))
+    spark.sql(f"ANALYZE TABLE {table_name(spark, target)} COMPUTE STATISTICS")
+    assert details(spark, target)["statistics"]["num_rows"] == 25
+    replace_table(given("nation").limit(3), target)
+    assert "statistics" not in details(spark, target)
+
+
+def test_text_of_limited_length_is_copied_as_text(spark, lake):
+    source, target = lake.table("codes"), lake.table("copy")
+    create_table(spark, source, "code CHAR(4), name VARCHAR(9)")
+    insert_values(spark, source, "('ab', 'alpha'), ('cdef', 'beta')")
+    for _ in range(2):
+        replace_table(read_table(spark, source), target)
+        assert rows(read_table(spark, target)) == [("ab  ", "alpha"), ("cdef", "beta")]
+    # Same shape the second time: the table was pointed at another version, not dropped.
+    assert len(versions(lake, "copy")) == 2
+
+
+def test_partitioned_target_is_replaced_whole(spark, given, lake):
+    target = lake.table("orders")
+    name = table_name(spark, target)
+    lake.database("db", lake.source)
+    given("orders").write.partitionBy("o_orderstatus").saveAsTable(name)
+    replace_table(given("orders"), target)
+    replace_table(given("orders"), target)
+    assert rows(read_table(spark, target)) == rows(given("orders"))
+
+
 def test_running_readers_keep_the_replaced_version(spark, given, lake):
     target = lake.table("orders")
     replace_table(given("orders"), target)

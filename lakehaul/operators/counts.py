@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import threading
-from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Sequence
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lakehaul.names import TableRef, table_name
+from lakehaul.threads import in_threads
 
 # Tables counted by one Spark job; keeps the plan of a large catalog small.
 TABLES_PER_JOB = 25
@@ -98,17 +97,6 @@ def require_equal(source: object, source_count: int, target: object, target_coun
         raise CountMismatch(source, source_count, target, target_count)
 
 
-def in_threads(spark: SparkSession, work: Callable, items: Sequence, parallelism: int) -> list:
-    """Runs ``work`` on every item, ``parallelism`` at a time; results in order.
-
-    Spark runs jobs from several driver threads side by side.
-    """
-    if parallelism <= 1 or len(items) <= 1:
-        return [work(item) for item in items]
-    with ThreadPoolExecutor(min(parallelism, len(items))) as pool:
-        return list(pool.map(inheritable_thread_target(spark)(work), items))
-
-
 def _count_together(spark: SparkSession, names: Sequence[str]) -> list[int]:
     union = " UNION ALL ".join(
         f"SELECT {at} AS slot, count(*) AS cnt FROM {name}" for at, name in enumerate(names)

@@ -20,13 +20,14 @@ def wide_enough(df: DataFrame) -> Iterator[None]:
 
     The usual fixed number would give every task hundreds of gigabytes of a very
     large table.  The setting is only ever raised, and small partitions are merged
-    again by adaptive execution.  Other queries planned meanwhile see it too; it
-    changes their width, not their rows.
+    again by adaptive execution.  Other queries planned meanwhile see it too, and two
+    writes that overlap may leave the larger number; it changes the width of a
+    shuffle, never its rows.
     """
     conf = df.sparkSession.conf
     before = conf.get(SETTING)
     wanted = min(MOST_PARTITIONS, -(-input_bytes(df) // BYTES_PER_PARTITION))
-    if wanted <= int(before):
+    if not before.isdigit() or wanted <= int(before):
         yield
         return
     conf.set(SETTING, str(wanted))

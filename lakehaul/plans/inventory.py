@@ -9,9 +9,10 @@ from pyspark.sql.types import BooleanType, LongType, StringType, StructField, St
 
 from lakehaul.catalog import ListedTable, list_databases, list_tables
 from lakehaul.names import TableRef
-from lakehaul.operators.counts import TABLES_PER_JOB, count_tables, in_threads
+from lakehaul.operators.counts import TABLES_PER_JOB, count_tables
 from lakehaul.plans.copies import message_of
 from lakehaul.sources.rows import report_rows
+from lakehaul.threads import in_threads
 
 log = logging.getLogger(__name__)
 

@@ -17,9 +17,9 @@ from pyspark.sql.types import (
 
 from lakehaul.catalog import create_database, list_databases, list_tables
 from lakehaul.names import TableRef
-from lakehaul.operators.counts import in_threads
 from lakehaul.plans.copies import message_of, try_copy_table
 from lakehaul.sources.rows import report_rows
+from lakehaul.threads import in_threads
 
 COMPLETED, FAILED, SKIPPED = "completed", "failed", "skipped"
 

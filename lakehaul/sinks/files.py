@@ -5,16 +5,24 @@ import uuid
 from pyspark.sql import DataFrame
 
 from lakehaul.operators.counts import CountedWrite
-from lakehaul.storage import delete_folder, swap_in
+from lakehaul.storage import delete_folder, folder_exists, is_empty, swap_in
 
 
 def write_folder(df: DataFrame, path: str, **options) -> int:
     """Writes a new Parquet folder and returns the number of rows written.
 
-    A folder that exists is refused.
+    A folder that exists is refused.  A failed write leaves no empty folder behind,
+    so that it can be tried again.
     """
+    spark = df.sparkSession
+    existed = folder_exists(spark, path)
     counted = CountedWrite(df)
-    counted.rows.write.mode("errorifexists").options(**options).parquet(path)
+    try:
+        counted.rows.write.mode("errorifexists").options(**options).parquet(path)
+    except Exception:
+        if not existed and is_empty(spark, path):
+            delete_folder(spark, path)
+        raise
     return counted.count()
 
 

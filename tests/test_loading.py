@@ -1,6 +1,7 @@
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from lakehaul.catalog import list_tables
 from lakehaul.operators.columns import empty_like
@@ -78,6 +79,14 @@ def test_output_that_exists_is_refused_and_kept(spark, given, tmp_path):
     assert read_folder(spark, out).count() == 25
 
 
+def test_failed_load_can_be_tried_again(spark, given, tmp_path):
+    out = str(tmp_path / "out")
+    wrong = given("orders").withColumn("o_custkey", F.raise_error(F.lit("cannot read")))
+    with pytest.raises(Exception, match="cannot read"):
+        write_folder(wrong, out)
+    assert write_folder(given("orders"), out) == 1500
+
+
 def test_csv_to_table(spark, given, lake, tmp_path):
     target, out = lake.table("trips"), str(tmp_path / "out")
     csv_to_table(

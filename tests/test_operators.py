@@ -142,7 +142,8 @@ def test_precombine_ranks_before_the_shuffle(given):
 
 def test_precombine_ranks_nulls_last_and_skips_maps(spark):
     rows = spark.sql(
-        "SELECT * FROM VALUES (1, CAST(NULL AS INT), map('a', 1)), (1, 5, map('b', 2)) AS v(k, o, m)"
+        "SELECT * FROM VALUES (1, CAST(NULL AS INT), map('a', 1)), (1, 5, map('b', 2))"
+        " AS v(k, o, m)"
     )
     [kept] = precombine(rows, ["k"], "o").collect()
     assert (kept.o, kept.m) == (5, {"b": 2})

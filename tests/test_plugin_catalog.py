@@ -13,6 +13,7 @@ from lakehaul.sinks import append_table, clone_empty, create_table, replace_tabl
 
 TARGET = TableRef("db", "t", "lake")
 NAME = "`lake`.`db`.`t`"
+COUNT = "lakehaul.operators.counts.CountedWrite.count"
 
 
 class RecordingFrame:
@@ -65,7 +66,7 @@ class RecordingSession:
 def session(spark, monkeypatch):
     spark.conf.set("spark.sql.catalog.lake", "some.Catalog")
     # What is recorded here is never run, so no count arrives with the write.
-    monkeypatch.setattr("lakehaul.operators.counts.CountedWrite.count", lambda self: self._df.count())
+    monkeypatch.setattr(COUNT, lambda self: self._df.count())
     yield lambda rows_found: RecordingSession(spark, rows_found)
     spark.conf.unset("spark.sql.catalog.lake")
 
@@ -89,7 +90,7 @@ def test_replace_compares_the_counts(session):
 
 
 def test_a_count_that_is_off_is_taken_again(session, monkeypatch):
-    monkeypatch.setattr("lakehaul.operators.counts.CountedWrite.count", lambda self: 5)
+    monkeypatch.setattr(COUNT, lambda self: 5)
     recording = session(rows_found=3)
     assert replace_table(RecordingFrame(recording, 3), TARGET) == (3, 3)
 
@@ -109,6 +110,7 @@ def test_statements_name_the_catalog(session):
     assert recording.calls == [
         "CREATE NAMESPACE IF NOT EXISTS `lake`.`db`",
         f"CREATE TABLE IF NOT EXISTS {NAME} (id INT) USING iceberg LOCATION 's3://bucket/t'",
-        f"CREATE TABLE IF NOT EXISTS {NAME} USING iceberg AS SELECT * FROM `lake`.`db`.`s` WHERE 1 = 0",
+        f"CREATE TABLE IF NOT EXISTS {NAME} USING iceberg"
+        " AS SELECT * FROM `lake`.`db`.`s` WHERE 1 = 0",
         f"DROP TABLE IF EXISTS {NAME}",
     ]

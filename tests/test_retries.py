@@ -30,7 +30,8 @@ def fails_once(batches):
 
 shaky = orders.mapInPandas(fails_once, orders.schema)
 latest = precombine(shaky, ["o_custkey"], "o_orderdate")
-print("counts", write_folder(shaky, sys.argv[1] + "/all"), replace_folder(latest, sys.argv[1] + "/latest"))
+out = sys.argv[1]
+print("counts", write_folder(shaky, out + "/all"), replace_folder(latest, out + "/latest"))
 """
 
 

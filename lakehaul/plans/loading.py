@@ -12,7 +12,14 @@ from pyspark.sql.types import StructType
 from lakehaul.catalog import create_database, register_view
 from lakehaul.names import TableRef
 from lakehaul.operators import optional, with_load_time
-from lakehaul.sinks import append_table, create_table, insert_values, register_folder, write_folder
+from lakehaul.sinks import (
+    append_table,
+    create_table,
+    insert_values,
+    register_folder,
+    require_file_tables,
+    write_folder,
+)
 from lakehaul.sources import read_csv, read_folder, read_sql, read_table
 from lakehaul.storage import folder_exists
 
@@ -58,6 +65,7 @@ def csv_to_table(
     The database is created if missing; a table that exists stays as it is.
     ``view`` also names a temporary view of the output.
     """
+    require_file_tables(spark, target)
     loaded = csv_to_parquet(spark, input_path, output_path, **options)
     if view:
         register_view(loaded.data, view)

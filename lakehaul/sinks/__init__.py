@@ -9,6 +9,7 @@ from lakehaul.sinks.tables import (
     insert_values,
     register_folder,
     replace_table,
+    require_file_tables,
 )
 
 __all__ = [
@@ -21,5 +22,6 @@ __all__ = [
     "register_folder",
     "replace_folder",
     "replace_table",
+    "require_file_tables",
     "write_folder",
 ]

@@ -10,7 +10,7 @@ from lakehaul.names import TableRef
 from lakehaul.operators.precombine import precombine, require_record_keys
 from lakehaul.operators.shuffles import wide_enough
 from lakehaul.sinks.files import replace_folder
-from lakehaul.sinks.tables import Written, register_folder, replace_table
+from lakehaul.sinks.tables import Written, register_folder, replace_table, require_file_tables
 
 
 def keyed_write(
@@ -27,6 +27,8 @@ def keyed_write(
     by a rename; where that copies the data, as on an object store, ``keyed_replace``
     is the cheaper one.
     """
+    if register_as:
+        require_file_tables(df.sparkSession, register_as)
     latest = _latest(df, keys, order_by, ties)
     with wide_enough(latest):
         rows = replace_folder(latest, path)

@@ -28,7 +28,15 @@ from lakehaul.catalog.statements import (
     table_exists,
     versions_folder,
 )
-from lakehaul.names import TableRef, is_plugin, quote, table_name, text
+from lakehaul.names import (
+    SESSION_CATALOG,
+    TableRef,
+    catalog_name,
+    is_plugin,
+    quote,
+    table_name,
+    text,
+)
 from lakehaul.operators.columns import optional
 from lakehaul.operators.counts import CountedWrite, require_equal
 from lakehaul.sources.files import read_folder
@@ -147,9 +155,12 @@ def register_folder(
 ) -> bool:
     """An external table over a folder already written; no data is read or copied.
 
-    An existing table is left alone.  With ``renew`` it is declared anew if it reads
-    ``path`` under other columns.  Returns whether the table reads ``path``.
+    Only the session catalog has such tables; a catalog with its own format would make
+    an empty table there, so it is refused.  An existing table is left alone.  With
+    ``renew`` it is declared anew if it reads ``path`` under other columns.  Returns
+    whether the table reads ``path``.
     """
+    require_file_tables(spark, target)
     if not table_exists(spark, target):
         create_table(spark, target, optional(schema), provider, path)
         return True
@@ -164,6 +175,12 @@ def register_folder(
     return True
 
 
+def require_file_tables(spark: SparkSession, target: TableRef) -> None:
+    """Raises if the target's catalog cannot hold a table over plain files."""
+    if catalog_name(spark, target.catalog) != quote(SESSION_CATALOG):
+        raise ValueError(f"cannot register a folder of files in the catalog of {target}")
+
+
 def _replace_in_plugin(df: DataFrame, target: TableRef, provider: str | None) -> Written:
     spark = df.sparkSession
     counted = CountedWrite(df)

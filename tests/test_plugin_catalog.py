@@ -9,7 +9,13 @@ import pytest
 from lakehaul.catalog import create_database, drop_tables
 from lakehaul.names import TableRef
 from lakehaul.operators import CountMismatch
-from lakehaul.sinks import append_table, clone_empty, create_table, replace_table
+from lakehaul.sinks import (
+    append_table,
+    clone_empty,
+    create_table,
+    register_folder,
+    replace_table,
+)
 
 TARGET = TableRef("db", "t", "lake")
 NAME = "`lake`.`db`.`t`"
@@ -101,6 +107,13 @@ def test_append_is_the_catalogs_own(session):
     assert recording.calls == [("writeTo", NAME), "append"]
 
 
+def test_a_folder_of_files_is_not_registered(session, given):
+    recording = session(rows_found=0)
+    with pytest.raises(ValueError, match="lake.db.t"):
+        register_folder(recording, TARGET, "s3://bucket/t", given("nation").schema)
+    assert recording.calls == []
+
+
 def test_statements_name_the_catalog(session):
     recording = session(rows_found=0)
     create_database(recording, "db", "lake")

@@ -196,7 +196,7 @@ def by_counting(pieces: DataFrame, unit: Unit) -> DataFrame:
         windows.join(again, ["anchor", "hash"])
         .groupBy("anchor", "content")
         .agg(F.collect_set("at").alias("starts"))
-        .withColumn("ends", F.transform("starts", lambda x: x + 1))
+        .select("anchor", "content", "starts", F.transform("starts", lambda x: x + 1).alias("ends"))
     )
 
 
@@ -234,9 +234,9 @@ def repeated_spans(
         F.min(F.struct("key", "first", "windows")).alias("one"),
     )
     crowds = contents.groupBy("anchor").agg((F.count(F.lit(1)) > most_contents).alias("crowded"))
+    contents = written(contents.join(crowds, "anchor"), "contents")
     wanted = (
-        contents.select("one.*", "anchor", "content")
-        .join(crowds, "anchor")
+        contents.select("one.*", "anchor", "content", "crowded")
         .groupBy("key")
         .agg(
             F.collect_list(F.struct("first", "windows", "anchor", "content", "crowded")).alias(
@@ -248,14 +248,14 @@ def repeated_spans(
         texts.join(wanted, "key").select("text", "wanted").mapInArrow(cut_pieces(unit), PIECES)
     )
     bucket = F.pmod(F.xxhash64("anchor"), F.lit(buckets)).alias("bucket")
-    found = (
+    verdicts = (
         pieces.where("NOT crowded")
         .select("anchor", "content", "piece", bucket)
         .groupBy("bucket")
         .applyInPandas(solve_bucket(solve), FOUND)
     )
-    counted = by_counting(pieces.where("crowded"), unit)
-    verdicts = found.union(counted.select("anchor", "content", "starts", "ends"))
+    if not contents.where("crowded").isEmpty():
+        verdicts = verdicts.union(by_counting(pieces.where("crowded"), unit))
 
     judged = mixed.join(contents.select("anchor", "content", "copies"), ["anchor", "content"])
     copied = judged.where("copies > 1").select(

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from lakehaul.llm.ngram_join import op4_ngram_join
 from lakehaul.llm.substring_dedup import op8_substring_dedup
 from lakehaul.llm.suffix_dedup import op1_suffix_dedup
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op4_ngram_join": op4_ngram_join,
     "op8_substring_dedup": op8_substring_dedup,
 }
 

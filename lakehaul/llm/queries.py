@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from lakehaul.llm import exact_dedup
+from lakehaul.llm.exact_dedup import op6_exact_dedup
 from lakehaul.llm.ngram_join import op4_ngram_join
 from lakehaul.llm.substring_dedup import op8_substring_dedup
 from lakehaul.llm.suffix_dedup import op1_suffix_dedup
@@ -9,7 +11,8 @@ from lakehaul.llm.suffix_dedup import op1_suffix_dedup
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op4_ngram_join": op4_ngram_join,
+    "op6_exact_dedup": op6_exact_dedup,
     "op8_substring_dedup": op8_substring_dedup,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op6_exact_dedup": exact_dedup.SQL}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from lakehaul.llm import exact_dedup
 from lakehaul.llm.exact_dedup import op6_exact_dedup
 from lakehaul.llm.ngram_join import op4_ngram_join
+from lakehaul.llm.source_mix import op9_source_mix
 from lakehaul.llm.substring_dedup import op8_substring_dedup
 from lakehaul.llm.suffix_dedup import op1_suffix_dedup
 
@@ -13,6 +14,7 @@ QUERIES = {
     "op4_ngram_join": op4_ngram_join,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_source_mix": op9_source_mix,
 }
 
 SQL: dict[str, str] = {"op6_exact_dedup": exact_dedup.SQL}

@@ -236,10 +236,10 @@ def op7_voronoi_knn(spark, sf_dir: str) -> DataFrame:
 
 SQL = """
     WITH v AS (
-        SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS x
+        SELECT vec_id, [CAST(floor(256 * CAST(c AS DOUBLE)) AS DOUBLE) for c in embedding] AS x
         FROM embeddings
         WHERE embedding IS NOT NULL
-          AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+          AND len([c for c in embedding if c IS NULL OR NOT isfinite(c)]) = 0),
     s AS (
         SELECT q.vec_id AS query_id, c.vec_id,
                CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score

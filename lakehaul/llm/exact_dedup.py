@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakehaul.llm.shared import BREAK, written
+from lakehaul.llm.shared import BREAK, row_key, rows_of_keys, written
 
 #: Distinct digests that a shard gets, about.
 SHARD_DIGESTS = 100_000
@@ -157,7 +157,7 @@ def exact_dedup(
     """For every row of ``docs``, the row of its text that stays.
 
     Texts are equal when they are after each run of spaces and of the codes 9 to 13 became
-    one space; a null text is empty.  Returns the id, ``keep_id`` (the smallest id of the
+    one space; a null text is empty.  Returns the id, ``check`` (hash of the text as it is), ``keep_id`` (the smallest id of the
     text's rows), ``group_size`` (how many rows), ``kept`` and ``text_sha256`` (of the
     normalised text).  A row without an id stays only if no row of its text has one.  Of
     repeated rows (one text, one id, or none) all are marked ``kept`` or none is.  Other
@@ -165,8 +165,11 @@ def exact_dedup(
     """
     text = normalised(text_col)
     rows = written(
-        docs.select(F.col(id_col).cast("bigint").alias("id"), F.encode(text, "UTF-8").alias("data")).select(
-            "id",
+        docs.select(
+            row_key(id_col, text_col).alias("key"), F.encode(text, "UTF-8").alias("data")
+        ).select(
+            "key",
+            F.col("key.id").alias("id"),
             F.octet_length("data").cast("bigint").alias("n_bytes"),
             F.unhex(F.sha2("data", 256)).alias("digest"),
         ),
@@ -183,6 +186,7 @@ def exact_dedup(
     )
     return rows.join(index, "digest").select(
         F.col("id").alias(id_col),
+        F.col("key.check").alias("check"),
         "keep_id",
         "group_size",
         F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
@@ -190,8 +194,17 @@ def exact_dedup(
     )
 
 
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each text: that of the smallest id."""
+    found = exact_dedup(docs, id_col, text_col).where("kept")
+    key = F.struct(F.col(id_col).alias("id"), "check").alias("key")
+    # Rows of one id may differ in their white space: one of them stays.
+    keys = found.select("text_sha256", key).groupBy("text_sha256").agg(F.min("key").alias("key"))
+    return rows_of_keys(docs, written(keys.select("key"), "kept"), id_col, text_col)
+
+
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:
-    return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("check")
 
 
 SQL = r"""

@@ -186,21 +186,38 @@ def language_id(
     out.  Repeated rows are learned from, and predicted, each.  Other columns are not
     looked at.  An empty table gives no rows.
     """
-    rows = docs.select(
+    rows = with_language(docs, id_col, text_col, lang_col, fit_docs, words, grams)
+    return rows.select(
+        F.col(f"row.{id_col}").alias(id_col), "held_out", "lang_pred", "score"
+    )
+
+
+def with_language(
+    docs: DataFrame, id_col: str, text_col: str, lang_col: str, fit_docs: int, words: int, grams: int
+) -> DataFrame:
+    """``row`` (the columns of ``docs``), ``held_out``, ``lang_pred`` and ``score``."""
+    learnable = docs.select(
         F.col(id_col).alias("id"),
-        held_out(id_col).alias("held_out"),
+        (~held_out(id_col)).alias("learn"),
         F.col(text_col).alias("text"),
         F.col(lang_col).alias("lang"),
     )
-    model = fit(rows.withColumn("learn", ~F.col("held_out")), fit_docs, words, grams)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = rows.schema["id"].dataType.simpleString()
-    return (
-        rows.select("id", "held_out", "text")
-        .mapInArrow(predict(shared), f"id {kind}, held_out boolean, lang_pred string, score double")
-        .withColumnRenamed("id", id_col)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(learnable, fit_docs, words, grams))
+    rows = docs.select(
+        F.struct(*docs.columns).alias("row"),
+        held_out(id_col).alias("held_out"),
+        F.col(text_col).alias("text"),
     )
+    schema = rows.drop("text").schema.add("lang_pred", "string").add("score", "double")
+    return rows.mapInArrow(predict(shared), schema)
+
+
+def in_known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text is in one of the learned languages."""
+    rows = with_language(docs, id_col, text_col, "lang", FIT_DOCS, WORDS, GRAMS)
+    return rows.where(F.col("lang_pred") != UNKNOWN).select("row.*")
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:
-    return language_id(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return language_id(docs.select("doc_id", "text", "lang"))

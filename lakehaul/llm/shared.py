@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space between words: a space, or one of the codes 9 to 13.
@@ -32,10 +32,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``key`` and ``text`` (null: empty) of every row.
 
@@ -44,6 +40,18 @@ def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(
-        F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("check")).alias("key"),
+        F.struct(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("check")).alias("key"),
         text.alias("text"),
     )
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """The key of ``keyed_texts``, of a table with other columns."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return F.struct(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("check"))
+
+
+def rows_of_keys(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of ``docs``, with its columns, for each ``key``; keys are distinct."""
+    packed = docs.select(row_key(id_col, text_col).alias("key"), F.struct(*docs.columns).alias("row"))
+    return packed.join(keys, "key", "left_semi").dropDuplicates(["key"]).select("row.*")

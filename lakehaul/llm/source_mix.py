@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakehaul.llm.shared import WORD, written
+from lakehaul.llm.shared import WORD, row_key, written
 
 #: Copies of a document at most, and of a source's words.
 MOST = 3
@@ -205,10 +205,9 @@ def source_mix(
     taken.  Repeated rows count each.  Other columns are not looked at.  An empty table
     gives no rows.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
     sizes = written(
         docs.select(
-            F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("check")).alias("key"),
+            row_key(id_col, text_col).alias("key"),
             F.col(source_col).alias("source"),
             words_in(F.col(text_col)).alias("size"),
         ),
@@ -267,6 +266,26 @@ def source_mix(
     )
 
 
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, each as often as the mix has whole copies of it."""
+    copies = source_mix(docs, id_col, text_col).select(
+        F.struct(F.col(id_col).cast("bigint").alias("id"), "check").alias("key"), "copies"
+    )
+    # Equal rows share a key: their numbers of copies are dealt out one by one.
+    per_key = written(
+        copies.groupBy("key").agg(F.sort_array(F.collect_list("copies")).alias("each")), "copies"
+    )
+    packed = docs.select(row_key(id_col, text_col).alias("key"), F.struct(*docs.columns).alias("row"))
+    turn = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("row")))
+    return (
+        packed.join(per_key, "key")
+        .withColumn("turn", turn)
+        .withColumn("n", F.element_at("each", F.col("turn")).cast("int"))
+        .select("row", F.explode(F.array_repeat(F.lit(1), F.col("n"))))
+        .select("row.*")
+    )
+
+
 def op9_source_mix(spark, sf_dir: str) -> DataFrame:
     return source_mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(
         "doc_id", "size", "source_size", "target", "taken"

@@ -7,6 +7,7 @@ from lakehaul.llm.exact_dedup import op6_exact_dedup
 from lakehaul.llm.language_id import op3_language_id
 from lakehaul.llm.ngram_join import op4_ngram_join
 from lakehaul.llm.packing import op5_best_fit_packing
+from lakehaul.llm.pii import op2_pii
 from lakehaul.llm.source_mix import op9_source_mix
 from lakehaul.llm.substring_dedup import op8_substring_dedup
 from lakehaul.llm.suffix_dedup import op1_suffix_dedup
@@ -15,6 +16,7 @@ from lakehaul.llm.voronoi_knn import op7_voronoi_knn
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_pii": op2_pii,
     "op3_language_id": op3_language_id,
     "op4_ngram_join": op4_ngram_join,
     "op5_best_fit_packing": op5_best_fit_packing,

@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +33,9 @@ WORDS, GRAMS = 40_000, 10_000
 #: Characters of the longest n-gram, and of a word (the rest of longer ones is other words).
 LONGEST, WORD_CHARS = 4, 40
 #: Scores of words that one worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
+#: Texts that one worker scores at a time.
+TOGETHER = 256
 
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]{1,%d}" % WORD_CHARS)
@@ -147,19 +150,24 @@ class Scorer:
         return self.langs[best], float(1 / np.exp(np.maximum(total - total[best], -700)).sum())
 
 
-def predict(model) -> Callable:
+def predict(model, text_col: str) -> Callable:
+    """Adds the language to rows in a struct column ``row``; the model is broadcast."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.value)
         for batch in batches:
-            found = [scorer.text(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(c) for c in batch.schema.names if c != "text"),
-                    pa.array([lang for lang, _ in found], pa.string()),
-                    pa.array([score for _, score in found], pa.float64()),
-                ],
-                [*(c for c in batch.schema.names if c != "text"), "lang_pred", "score"],
-            )
+            for at in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(at, TOGETHER)
+                texts = pc.struct_field(part.column("row"), text_col).to_pylist()
+                found = [scorer.text(t) for t in texts]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *part.columns,
+                        pa.array([lang for lang, _ in found], pa.string()),
+                        pa.array([score for _, score in found], pa.float64()),
+                    ],
+                    [*part.schema.names, "lang_pred", "score"],
+                )
 
     return run
 
@@ -206,10 +214,9 @@ def with_language(
     rows = docs.select(
         F.struct(*docs.columns).alias("row"),
         held_out(id_col).alias("held_out"),
-        F.col(text_col).alias("text"),
     )
-    schema = rows.drop("text").schema.add("lang_pred", "string").add("score", "double")
-    return rows.mapInArrow(predict(shared), schema)
+    schema = rows.schema.add("lang_pred", "string").add("score", "double")
+    return rows.mapInArrow(predict(shared, text_col), schema)
 
 
 def in_known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,7 +1,7 @@
 """Token ids in Parquet files: list columns, small row groups, page indexes.
 
-A file holds a row per document in ascending id order: the id, the number of ids,
-the ids themselves and which file of the set it is.  Ids are written with a dictionary
+A file holds a row per document in ascending id order: the id, the number of token ids
+before it in the file, their number, and the ids.  Ids are written with a dictionary
 where they repeat (a vocabulary is far smaller than a file) and metadata without one and in
 the second page version, whose integers are delta-encoded.  Row groups and pages are kept small, and the
 writer adds a page index; so a reader that wants the lengths reads no ids, and one that wants a
@@ -10,6 +10,8 @@ range of documents reads the pages that hold it.
 
 from __future__ import annotations
 
+import itertools
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -25,31 +27,31 @@ ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 8 << 20, 256 << 10, 2_000
 #: Documents encoded together.
 TOGETHER = 256
 
-IDS = "doc_id bigint, n_tokens bigint, ids array<int>"
+IDS = "doc_id bigint, within bigint, n_tokens bigint, ids array<int>"
 
 
 def encode_rows(path: str, by_space: bool, end: int) -> Callable:
     closing = end.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = encoder(path, by_space)
+        tokens, before = encoder(path, by_space), 0
         for batch in batches:
             for at in range(0, batch.num_rows, TOGETHER):
                 part = batch.slice(at, TOGETHER)
                 rows = [x + closing for x in tokens.encode(part.column("text").to_pylist())]
                 lengths = [len(x) // 4 for x in rows]
-                offsets = [0]
-                for n in lengths:
-                    offsets.append(offsets[-1] + n)
+                offsets = list(itertools.accumulate(lengths, initial=0))
                 flat = pa.Array.from_buffers(pa.int32(), offsets[-1], [None, pa.py_buffer(b"".join(rows))])
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
+                        pa.array([before + n for n in offsets[:-1]], pa.int64()),
                         pa.array(lengths, pa.int64()),
                         pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat),
                     ],
-                    ["doc_id", "n_tokens", "ids"],
+                    ["doc_id", "within", "n_tokens", "ids"],
                 )
+                before += offsets[-1]
 
     return run
 
@@ -67,22 +69,26 @@ def write_token_files(
 
     The files' order, by name, is the order of ids; so is the order of rows in them.
     A null text is empty and has only ``end``.  Rows without an id come first.  Rows of
-    one id are kept, and ordered by their ids.  Other columns are not written.  An
+    one id are kept, and ordered by their texts.  Other columns are not written.  An
     empty table gives a folder with a schema and no rows.
     """
-    rows = docs.select(
-        F.col(id_col).cast("bigint").alias("doc_id"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-    ).mapInArrow(encode_rows(tokenizer, by_space, end), IDS)
+    ordered = (
+        docs.select(
+            F.col(id_col).cast("bigint").alias("doc_id"),
+            F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        )
+        .repartitionByRange("doc_id")
+        .sortWithinPartitions("doc_id", "text")
+    )
     (
-        rows.repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id", "ids")
+        ordered.mapInArrow(encode_rows(tokenizer, by_space, end), IDS)
         .write.option("parquet.block.size", ROW_GROUP_BYTES)
         .option("parquet.page.size", PAGE_BYTES)
         .option("parquet.page.row.count.limit", PAGE_ROWS)
         .option("parquet.writer.version", "PARQUET_2_0")
         .option("parquet.enable.dictionary", "true")
         .option("parquet.enable.dictionary#doc_id", "false")
+        .option("parquet.enable.dictionary#within", "false")
         .option("parquet.enable.dictionary#n_tokens", "false")
         .parquet(path)
     )
@@ -91,8 +97,8 @@ def write_token_files(
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``ids``, and ``start``: the ids of all documents before.
 
-    Starts come from the metadata columns alone: sums per file, added up over the few
-    files, and running sums inside each file.
+    Starts come from the metadata columns alone: each file holds its own running sums,
+    and the totals of the files, a row per file, are added up in their order.
     """
     rows = spark.read.schema(IDS).parquet(path).withColumn("file", F.col("_metadata.file_name"))
     totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"))
@@ -100,11 +106,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     ahead = totals.select(
         F.col("file").alias("of"), F.coalesce(F.sum("total").over(files), F.lit(0)).alias("ahead")
     )
-    inside = Window.partitionBy("file").orderBy("doc_id", "ids").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        rows.withColumn("within", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
-        .join(ahead, F.col("file") == F.col("of"))
-        .select("doc_id", (F.col("ahead") + F.col("within")).alias("start"), "n_tokens", "ids")
+    return rows.join(ahead, F.col("file") == F.col("of")).select(
+        "doc_id", (F.col("ahead") + F.col("within")).alias("start"), "n_tokens", "ids"
     )
 
 
@@ -126,8 +129,6 @@ def checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op10_token_files(spark, sf_dir: str) -> DataFrame:
-    import uuid
-
     import public_tokenizers
 
     path = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"

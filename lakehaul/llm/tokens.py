@@ -1,26 +1,36 @@
 """Token ids of whole texts, by the ``tokenizers`` library, with a cache of words.
 
-Both tokenizers used here divide a text at a single space between two characters that
-are no white space, whatever stands around it: the byte tokenizer gives the space to
-what follows, the word tokenizer drops it.  So a text is the sequence of its chunks
-between such spaces, and each distinct chunk is encoded once.  Texts with other white
-space next to a space are encoded whole.  The cache is bounded: full, it starts anew.
+Both tokenizers used here work on parts of a text independently, so each distinct part is
+encoded once.
+
+* The byte tokenizer divides a text at a single space between two characters that are
+  no white space, and gives the space to what follows.  Texts with white space next to
+  a space are encoded whole.
+* The word tokenizer drops all white space, ignores case and takes letters, digits and
+  runs of other characters one by one.  Its parts lie between white space; a full stop or a
+  comma that ends a part behind a letter or digit is a part of its own.
+
+The cache is bounded: full, it starts anew.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable
+from collections.abc import Callable
 
 import numpy as np
 
-#: Chunks kept by one Python worker, and the length of those not worth keeping.
-CACHE_CHUNKS, LONG_CHUNK = 400_000, 40
+#: Chunks kept by one Python worker.
+CACHE_CHUNKS = 400_000
 #: Chunks encoded in one string.
 JOINED = 2048
 
 _SPACES = re.compile(r"\s\s")
+#: Stops behind anything but a letter or digit, and characters that only Python splits at.
+_JOINED_STOPS = re.compile(r"[\W_][.,](?=\s|$)")
+_ODD_SPACES = re.compile(r"[\x1c-\x1f]")
+_STOPS = re.compile(r"([.,])(?=\s|$)")
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
@@ -42,6 +52,9 @@ class Encoder:
             self.opens[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
         else:
             (self.mark,) = self._encode(["\x01"])[0]
+            vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+            self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -50,19 +63,35 @@ class Encoder:
         return np.array(self._encode([text])[0], dtype="<u4").tobytes()
 
     def _learn(self, chunks: list[str]) -> dict[str, bytes]:
+        if self.by_space:
+            return self._learn_by(chunks, self._by_opening)
+        letters = [c for c in chunks if c.isalpha() and c.isascii()]
+        others = [c for c in chunks if not (c.isalpha() and c.isascii())]
+        return self._learn_by(letters, self._by_closing) | self._learn_by(others, self._by_mark)
+
+    def _by_opening(self, part: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids = np.array(self._encode([" " + " ".join(part)])[0], dtype="<u4")
+        begins = np.flatnonzero(self.opens[ids])
+        return ids, begins, np.append(begins[1:], len(ids))
+
+    def _by_closing(self, part: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words of letters: each ends with an id that ends a word."""
+        ids = np.array(self._encode([" ".join(part)])[0], dtype="<u4")
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        return ids, np.append(0, ends[:-1]), ends
+
+    def _by_mark(self, part: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids = np.array(self._encode([" \x01 ".join(part) + " \x01"])[0], dtype="<u4")
+        ends = np.flatnonzero(ids == self.mark)
+        return ids, np.append(0, ends[:-1] + 1), ends
+
+    def _learn_by(self, chunks: list[str], how: Callable) -> dict[str, bytes]:
         out: dict[str, bytes] = {}
+        prefix = " " if self.by_space else ""
         for at in range(0, len(chunks), JOINED):
             part = chunks[at : at + JOINED]
-            if self.by_space:
-                ids = np.array(self._encode([" " + " ".join(part)])[0], dtype="<u4")
-                begins = np.flatnonzero(self.opens[ids])
-                ends = np.append(begins[1:], len(ids))
-            else:
-                ids = np.array(self._encode([" \x01 ".join(part) + " \x01"])[0], dtype="<u4")
-                ends = np.flatnonzero(ids == self.mark)
-                begins = np.append(0, ends[:-1] + 1)
+            ids, begins, ends = how(part)
             if len(begins) != len(part):  # some chunk is not as expected: one by one
-                prefix = " " if self.by_space else ""
                 out.update((c, self.whole(prefix + c)) for c in part)
                 continue
             data = ids.tobytes()
@@ -70,25 +99,32 @@ class Encoder:
                 out[chunk] = data[a:b]
         return out
 
-    def encode(self, texts: Iterable[str]) -> list[bytes]:
+    def _split(self, text: str) -> list[str] | None:
+        """Parts of a text, or None if it has to be encoded whole."""
+        if self.by_space:
+            return None if _SPACES.search(text) else text.split(" ")
+        if _ODD_SPACES.search(text):
+            return None
+        if text.isascii():
+            text = text.lower()
+        if not _JOINED_STOPS.search(text):
+            text = _STOPS.sub(r" \1", text)
+        return text.split()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [None if _SPACES.search(t) else t.split(" ") for t in texts]
-        texts = list(texts)
+        split = [self._split(t) for t in texts]
         first = 1 if self.by_space else 0
-        fresh: set[str] = set()
+        wanted: set[str] = set()
         for chunks in split:
             if chunks is not None:
-                fresh.update(chunks[first:])
-        fresh.difference_update(self.cache)
-        fresh.discard("")
+                wanted.update(chunks[first:] if first else chunks)
+        wanted.discard("")
+        fresh = [c for c in wanted if c not in self.cache]
         if len(self.cache) + len(fresh) > CACHE_CHUNKS:
-            for chunks in split:
-                if chunks is not None:
-                    fresh.update(chunks[first:])
-            fresh.discard("")
             self.cache = {}
-        learned = self._learn([c for c in fresh])
-        self.cache.update(learned)
+            fresh = list(wanted)
+        self.cache.update(self._learn(fresh))
         known = self.cache
         space = self.whole(" ") if self.by_space else b""
         out = []
@@ -99,7 +135,7 @@ class Encoder:
                 rest = [known[c] if c else space for c in chunks[1:]]
                 out.append(b"".join([self.whole(chunks[0]) if chunks[0] else b"", *rest]))
             else:
-                out.append(b"".join([known[c] for c in chunks if c]))
+                out.append(b"".join(map(known.__getitem__, chunks)))
         return out
 
 

@@ -23,6 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from lakehaul.llm.shared import written
 
@@ -215,8 +216,8 @@ def with_language(
         F.struct(*docs.columns).alias("row"),
         held_out(id_col).alias("held_out"),
     )
-    schema = rows.schema.add("lang_pred", "string").add("score", "double")
-    return rows.mapInArrow(predict(shared, text_col), schema)
+    more = [StructField("lang_pred", StringType()), StructField("score", DoubleType())]
+    return rows.mapInArrow(predict(shared, text_col), StructType([*rows.schema.fields, *more]))
 
 
 def in_known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

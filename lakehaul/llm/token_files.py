@@ -24,6 +24,8 @@ from lakehaul.llm.tokens import encoder
 
 #: Bytes of a row group and of a page, and rows of a page, at most.
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 8 << 20, 256 << 10, 2_000
+#: Files whose totals, a name and a number each, may be broadcast.
+BROADCAST_FILES = 20_000
 #: Documents encoded together.
 TOGETHER = 256
 
@@ -106,6 +108,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     ahead = totals.select(
         F.col("file").alias("of"), F.coalesce(F.sum("total").over(files), F.lit(0)).alias("ahead")
     )
+    if len(rows.inputFiles()) <= BROADCAST_FILES:
+        ahead = F.broadcast(ahead)
     return rows.join(ahead, F.col("file") == F.col("of")).select(
         "doc_id", (F.col("ahead") + F.col("within")).alias("start"), "n_tokens", "ids"
     )

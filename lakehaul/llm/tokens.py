@@ -22,7 +22,7 @@ from collections.abc import Callable
 import numpy as np
 
 #: Chunks kept by one Python worker.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 600_000
 #: Chunks encoded in one string.
 JOINED = 2048
 

@@ -10,15 +10,17 @@ range of documents reads the pages that hold it.
 
 from __future__ import annotations
 
-import itertools
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lakehaul.llm import anchors
 from lakehaul.llm.shared import shared_folder
 from lakehaul.llm.tokens import encoder
 
@@ -26,34 +28,41 @@ from lakehaul.llm.tokens import encoder
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 8 << 20, 256 << 10, 2_000
 #: Files whose totals, a name and a number each, may be broadcast.
 BROADCAST_FILES = 20_000
-#: Documents encoded together.
-TOGETHER = 256
+#: Bytes of texts encoded together, about; a longer text is encoded alone.
+TOGETHER = 4 << 20
 
 IDS = "doc_id bigint, within bigint, n_tokens bigint, ids array<int>"
 
 
 def encode_rows(path: str, by_space: bool, end: int) -> Callable:
-    closing = end.to_bytes(4, "little")
+    def ids_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        tokens = encoder(path, by_space)
+        if not by_space:
+            return tokens.encode_words(texts)
+        rows = tokens.encode(texts.to_pylist())
+        return np.frombuffer(b"".join(rows), "<u4"), np.array([len(x) // 4 for x in rows])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, before = encoder(path, by_space), 0
+        before = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, TOGETHER):
-                part = batch.slice(at, TOGETHER)
-                rows = [x + closing for x in tokens.encode(part.column("text").to_pylist())]
-                lengths = [len(x) // 4 for x in rows]
-                offsets = list(itertools.accumulate(lengths, initial=0))
-                flat = pa.Array.from_buffers(pa.int32(), offsets[-1], [None, pa.py_buffer(b"".join(rows))])
+            sizes = pc.binary_length(batch.column("text")).to_numpy()
+            for rows in anchors.batches(sizes, TOGETHER):
+                part = batch.slice(rows.start, rows.stop - rows.start)
+                ids, lengths = ids_of(part.column("text"))
+                ends = np.cumsum(lengths)
+                flat = np.insert(ids, ends, end).view(np.int32)
+                lengths = lengths + 1
+                offsets = np.concatenate([[0], np.cumsum(lengths)])
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
-                        pa.array([before + n for n in offsets[:-1]], pa.int64()),
+                        pa.array(before + offsets[:-1], pa.int64()),
                         pa.array(lengths, pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat),
+                        pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)),
                     ],
                     ["doc_id", "within", "n_tokens", "ids"],
                 )
-                before += offsets[-1]
+                before += int(offsets[-1])
 
     return run
 

@@ -7,10 +7,13 @@ encoded once.
   no white space, and gives the space to what follows.  Texts with white space next to
   a space are encoded whole.
 * The word tokenizer drops all white space, ignores case and takes letters, digits and
-  runs of other characters one by one.  Its parts lie between white space; a full stop or a
-  comma that ends a part behind a letter or digit is a part of its own.
+  runs of other characters one by one.  Its parts lie between ASCII white space, other
+  white space stays inside a part; ASCII signs that end a part behind a letter or
+  digit are a part of their own.  Arrow splits the texts and numbers their distinct
+  parts, and the ids are put together by number.
 
-The cache is bounded: full, it starts anew.
+The cache is bounded: half full, it becomes the older half, of which only chunks that come
+again are kept.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ import re
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Chunks kept by one Python worker.
 CACHE_CHUNKS = 600_000
@@ -27,10 +32,9 @@ CACHE_CHUNKS = 600_000
 JOINED = 2048
 
 _SPACES = re.compile(r"\s\s")
-#: Stops behind anything but a letter or digit, and characters that only Python splits at.
-_JOINED_STOPS = re.compile(r"[\W_][.,](?=\s|$)")
-_ODD_SPACES = re.compile(r"[\x1c-\x1f]")
-_STOPS = re.compile(r"([.,])(?=\s|$)")
+#: Signs that are a part of their own, for Arrow's regular expressions.
+#: Not "]" and ">", which may end a special token.
+_STOPS, _APART = r"([\pL\pN])([!-/:-=?@\[\\^-`{-~]+)(\s|$)", r"\1 \2\3"
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
@@ -46,6 +50,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.by_space = joined_by_space
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         if joined_by_space:
             vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
             self.opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
@@ -65,8 +70,8 @@ class Encoder:
     def _learn(self, chunks: list[str]) -> dict[str, bytes]:
         if self.by_space:
             return self._learn_by(chunks, self._by_opening)
-        letters = [c for c in chunks if c.isalpha() and c.isascii()]
-        others = [c for c in chunks if not (c.isalpha() and c.isascii())]
+        letters = [c for c in chunks if c.isalpha()]
+        others = [c for c in chunks if not c.isalpha()]
         return self._learn_by(letters, self._by_closing) | self._learn_by(others, self._by_mark)
 
     def _by_opening(self, part: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,43 +104,60 @@ class Encoder:
                 out[chunk] = data[a:b]
         return out
 
-    def _split(self, text: str) -> list[str] | None:
-        """Parts of a text, or None if it has to be encoded whole."""
-        if self.by_space:
-            return None if _SPACES.search(text) else text.split(" ")
-        if _ODD_SPACES.search(text):
-            return None
-        if text.isascii():
-            text = text.lower()
-        if not _JOINED_STOPS.search(text):
-            text = _STOPS.sub(r" \1", text)
-        return text.split()
+    def _recall(self, wanted: list[str]) -> dict[str, bytes]:
+        """The cache, with the ids of all these chunks in it."""
+        missing = [c for c in wanted if c not in self.cache]
+        if len(self.cache) + len(missing) > CACHE_CHUNKS // 2:
+            self.older, self.cache, missing = self.cache, {}, wanted
+        again = {c: self.older[c] for c in missing if c in self.older}
+        self.cache.update(again)
+        self.cache.update(self._learn([c for c in missing if c not in again]))
+        return self.cache
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [self._split(t) for t in texts]
-        first = 1 if self.by_space else 0
+        if self.by_space:
+            return self._encode_spaced(texts)
+        ids, lengths = self.encode_words(pa.array(texts, pa.string()))
+        data, ends = ids.tobytes(), np.cumsum(lengths) * 4
+        return [data[b - 4 * n : b] for n, b in zip(lengths.tolist(), ends.tolist(), strict=True)]
+
+    def encode_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts without nulls, end to end, and their number per text."""
+        parts = pc.ascii_split_whitespace(
+            pc.replace_substring_regex(pc.ascii_lower(texts), _STOPS, _APART)
+        )
+        numbered = parts.flatten().dictionary_encode()
+        chunks = numbered.dictionary.to_pylist()
+        known = self._recall([c for c in chunks if c])
+        found = [known[c] if c else b"" for c in chunks]
+        ids = np.frombuffer(b"".join(found), dtype="<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        number = numbered.indices.to_numpy()
+        each = sizes[number]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        first = (np.cumsum(sizes) - sizes)[number] - ends[:-1]
+        places = np.repeat(first, each)
+        places += np.arange(len(places))
+        bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(parts).to_numpy())])
+        return ids[places], np.diff(ends[bounds])
+
+    def _encode_spaced(self, texts: list[str]) -> list[bytes]:
+        split = [None if _SPACES.search(text) else text.split(" ") for text in texts]
         wanted: set[str] = set()
         for chunks in split:
             if chunks is not None:
-                wanted.update(chunks[first:] if first else chunks)
+                wanted.update(chunks[1:])
         wanted.discard("")
-        fresh = [c for c in wanted if c not in self.cache]
-        if len(self.cache) + len(fresh) > CACHE_CHUNKS:
-            self.cache = {}
-            fresh = list(wanted)
-        self.cache.update(self._learn(fresh))
-        known = self.cache
-        space = self.whole(" ") if self.by_space else b""
+        known = self._recall(list(wanted))
+        space = self.whole(" ")
         out = []
         for text, chunks in zip(texts, split, strict=True):
             if chunks is None:
                 out.append(self.whole(text))
-            elif self.by_space:
+            else:
                 rest = [known[c] if c else space for c in chunks[1:]]
                 out.append(b"".join([self.whole(chunks[0]) if chunks[0] else b"", *rest]))
-            else:
-                out.append(b"".join(map(known.__getitem__, chunks)))
         return out
 
 

@@ -8,11 +8,13 @@ from urllib.parse import unquote
 from pyspark.sql import DataFrame, SparkSession
 
 from lakehaul.names import (
+    PREFIX_END,
     TableRef,
     catalog_name,
     database_name,
     database_prefix,
     is_plugin,
+    prefixes_allowed,
     table_name,
     text,
 )
@@ -51,10 +53,17 @@ def set_current_database(spark: SparkSession, database: str, catalog: str | None
 
 
 def list_databases(spark: SparkSession, catalog: str | None = None) -> list[str]:
-    """Database names of one catalog, without the prefix of a mapped catalog."""
+    """Database names of one catalog.
+
+    Where catalog names may be prefixes, a catalog's databases carry no further one,
+    so none is listed under two catalogs.
+    """
     prefix = database_prefix(spark, catalog)
     rows = spark.sql(f"SHOW NAMESPACES IN {catalog_name(spark, catalog)}").collect()
-    return [row.namespace[len(prefix) :] for row in rows if row.namespace.startswith(prefix)]
+    names = [row.namespace[len(prefix) :] for row in rows if row.namespace.startswith(prefix)]
+    if is_plugin(spark, catalog) or not prefixes_allowed(spark):
+        return names
+    return [name for name in names if PREFIX_END not in name]
 
 
 def list_tables(
@@ -142,7 +151,11 @@ def is_version(spark: SparkSession, ref: TableRef, folder: str) -> bool:
 
 def is_default_folder(spark: SparkSession, ref: TableRef, folder: str) -> bool:
     """True for the folder Spark gives a managed table of this name."""
-    return same_folder(spark, folder, f"{database_folder(spark, ref)}/{ref.table}")
+    return same_folder(spark, folder, default_folder(spark, ref))
+
+
+def default_folder(spark: SparkSession, ref: TableRef) -> str:
+    return f"{database_folder(spark, ref)}/{ref.table}"
 
 
 def database_folder(spark: SparkSession, ref: TableRef) -> str:

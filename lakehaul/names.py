@@ -1,9 +1,10 @@
 """Catalog, database and table names as SQL text.
 
 A catalog that the session configures (``spark.sql.catalog.<name>``) is used as
-it is.  Any other catalog name is a prefix: database ``db`` of catalog ``src``
-is the session database ``src__db``.  That way a copy from one catalog to
-another can be run where the session catalog is the only one.
+it is.  Any other catalog name is an error, unless the session sets
+``spark.lakehaul.catalogPrefixes`` to ``true``: then it is a prefix, and database
+``db`` of catalog ``src`` is the session database ``src__db``.  That way a copy from
+one catalog to another can be run where the session catalog is the only one.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import SparkSession
 
 SESSION_CATALOG = "spark_catalog"
 PREFIX_END = "__"
+PREFIXES = "spark.lakehaul.catalogPrefixes"
 
 
 @dataclass(frozen=True)
@@ -52,10 +54,18 @@ def is_plugin(spark: SparkSession, catalog: str | None) -> bool:
     return spark.conf.get(f"spark.sql.catalog.{catalog}", None) not in (None, "builtin")
 
 
+def prefixes_allowed(spark: SparkSession) -> bool:
+    return spark.conf.get(PREFIXES, "false").lower() == "true"
+
+
 def database_prefix(spark: SparkSession, catalog: str | None) -> str:
     """What stands before a database name in the session catalog."""
     if catalog in (None, SESSION_CATALOG) or is_plugin(spark, catalog):
         return ""
+    if not prefixes_allowed(spark):
+        raise ValueError(f"the session configures no catalog {catalog}")
+    if PREFIX_END in catalog:
+        raise ValueError(f"a catalog name that is a prefix cannot hold {PREFIX_END}: {catalog}")
     return catalog + PREFIX_END
 
 
@@ -68,7 +78,10 @@ def catalog_name(spark: SparkSession, catalog: str | None) -> str:
 
 def database_name(spark: SparkSession, database: str, catalog: str | None = None) -> str:
     """Quoted, qualified database name."""
-    return f"{catalog_name(spark, catalog)}.{quote(database_prefix(spark, catalog) + database)}"
+    prefix = database_prefix(spark, catalog)
+    if prefix and PREFIX_END in database:
+        raise ValueError(f"a database of {catalog} cannot hold {PREFIX_END}: {database}")
+    return f"{catalog_name(spark, catalog)}.{quote(prefix + database)}"
 
 
 def table_name(spark: SparkSession, ref: TableRef) -> str:

@@ -89,7 +89,7 @@ def append_copy(
 
 
 def message_of(error: Exception) -> str:
-    """First line of an error; that of the JVM error if there is one."""
+    """The text of an error; that of the JVM error if there is one."""
     cause = getattr(error, "java_exception", None)
-    lines = (str(error) if cause is None else cause.toString()).strip().splitlines()
-    return lines[0] if lines else type(error).__name__
+    told = (str(error) if cause is None else cause.toString()).strip()
+    return told or type(error).__name__

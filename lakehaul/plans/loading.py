@@ -18,6 +18,7 @@ from lakehaul.sinks import (
     insert_values,
     register_folder,
     require_file_tables,
+    require_reads,
     write_folder,
 )
 from lakehaul.sources import read_csv, read_folder, read_sql, read_table
@@ -62,14 +63,16 @@ def csv_to_table(
 ) -> Loaded:
     """``csv_to_parquet``, then the output folder as an external table.
 
-    The database is created if missing; a table that exists stays as it is.
+    The database is created if missing.  A table that exists stays as it is; if it
+    reads another folder the load is refused before any pass.
     ``view`` also names a temporary view of the output.
     """
     require_file_tables(spark, target)
+    create_database(spark, target.database, target.catalog)
+    require_reads(spark, target, output_path)
     loaded = csv_to_parquet(spark, input_path, output_path, **options)
     if view:
         register_view(loaded.data, view)
-    create_database(spark, target.database, target.catalog)
     register_folder(spark, target, output_path, loaded.data.schema)
     return loaded
 

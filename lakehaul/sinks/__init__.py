@@ -10,6 +10,7 @@ from lakehaul.sinks.tables import (
     register_folder,
     replace_table,
     require_file_tables,
+    require_reads,
 )
 
 __all__ = [
@@ -23,5 +24,6 @@ __all__ = [
     "replace_folder",
     "replace_table",
     "require_file_tables",
+    "require_reads",
     "write_folder",
 ]

@@ -1,4 +1,9 @@
-"""Keyed tables: one row per record key, every write replaces the whole table."""
+"""Keyed tables: one row per record key, every write replaces the whole table.
+
+The shuffle has the width the session gives it.  For very large inputs submit with
+``spark.sql.adaptive.coalescePartitions.initialPartitionNum`` at input bytes / 256 MiB:
+adaptive execution merges what turns out small.
+"""
 
 from __future__ import annotations
 
@@ -8,9 +13,14 @@ from pyspark.sql import DataFrame
 
 from lakehaul.names import TableRef
 from lakehaul.operators.precombine import precombine, require_record_keys
-from lakehaul.operators.shuffles import wide_enough
 from lakehaul.sinks.files import replace_folder
-from lakehaul.sinks.tables import Written, register_folder, replace_table, require_file_tables
+from lakehaul.sinks.tables import (
+    Written,
+    register_folder,
+    replace_table,
+    require_file_tables,
+    require_reads,
+)
 
 
 def keyed_write(
@@ -29,9 +39,9 @@ def keyed_write(
     """
     if register_as:
         require_file_tables(df.sparkSession, register_as)
+        require_reads(df.sparkSession, register_as, path)
     latest = _latest(df, keys, order_by, ties)
-    with wide_enough(latest):
-        rows = replace_folder(latest, path)
+    rows = replace_folder(latest, path)
     if register_as:
         spark, schema = df.sparkSession, latest.schema
         if not register_folder(spark, register_as, path, schema, renew=True):
@@ -49,8 +59,7 @@ def keyed_replace(
 ) -> Written:
     """The same into a catalog table; only the table's location changes."""
     latest = _latest(df, keys, order_by, ties)
-    with wide_enough(latest):
-        return replace_table(latest, target, provider)
+    return replace_table(latest, target, provider)
 
 
 def _latest(

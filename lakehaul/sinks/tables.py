@@ -19,9 +19,9 @@ from pyspark.sql.types import StructType
 
 from lakehaul.catalog.statements import (
     PREVIOUS,
+    default_folder,
     delete_previous,
     details,
-    drop_tables,
     is_default_folder,
     is_version,
     set_table_properties,
@@ -138,10 +138,11 @@ def replace_table(df: DataFrame, target: TableRef, provider: str | None = None)
         written = read_folder(spark, location, df.schema, provider).count()
         counts = Written(counted.count(), written)
         require_equal("the source", counts.source_count, target, counts.target_count)
+        _publish(spark, target, df.schema, provider, location)
     except Exception:
-        delete_folder(spark, location)
+        if not _reads(spark, target, location):
+            delete_folder(spark, location)
         raise
-    _publish(spark, target, df.schema, provider, location)
     return counts
 
 
@@ -181,6 +182,18 @@ def require_file_tables(spark: SparkSession, target: TableRef) -> None:
         raise ValueError(f"cannot register a folder of files in the catalog of {target}")
 
 
+def require_reads(spark: SparkSession, target: TableRef, path: str) -> None:
+    """Raises if the table exists and reads another folder."""
+    if table_exists(spark, target) and not _reads(spark, target, path):
+        raise ValueError(f"{target} exists and reads another folder than {path}")
+
+
+def _reads(spark: SparkSession, target: TableRef, path: str) -> bool:
+    return table_exists(spark, target) and same_folder(
+        spark, details(spark, target)["location"], path
+    )
+
+
 def _replace_in_plugin(df: DataFrame, target: TableRef, provider: str | None) -> Written:
     spark = df.sparkSession
     counted = CountedWrite(df)
@@ -201,24 +214,67 @@ def _publish(
     """Points the table at a version folder; metadata only.
 
     With the same columns and format this is one catalog call, and readers never
-    miss the table.  Otherwise the table is dropped and created anew, and there is
-    a moment without it.  The version just replaced stays for running readers; the
+    miss the table.  Otherwise the table is declared anew, and there is a moment
+    without it; if that fails, the old one comes back, as an external table over its
+    files.  Either way the version just replaced stays for running readers, and the
     one before it is deleted.
     """
     name = table_name(spark, target)
     old = details(spark, target) if table_exists(spark, target) else None
-    same_shape = old is not None and _same_shape(spark, name, old, schema, provider)
-    if not same_shape:
-        if old:
-            drop_tables(spark, [target])
-        spark.catalog.createTable(name, source=provider, schema=schema)
-    spark.sql(f"ALTER TABLE {name} SET LOCATION {text(location)}")
-    if same_shape:
+    if old is not None and _same_shape(spark, name, old, schema, provider):
+        spark.sql(f"ALTER TABLE {name} SET LOCATION {text(location)}")
+    elif old is None:
+        _declare(spark, target, schema, provider, location)
+    else:
+        before = spark.table(name).schema
+        _forget(spark, target, old)
+        try:
+            _declare(spark, target, schema, provider, location)
+        except Exception:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+            _restore(spark, target, old, before)
+            raise
+    if old is not None:
         retired = old["location"] if _is_own_folder(spark, target, old) else ""
         set_table_properties(spark, target, {PREVIOUS: retired})
         delete_previous(spark, target, old)
 
 
+def _declare(
+    spark: SparkSession, target: TableRef, schema: StructType, provider: str, location: str
+) -> None:
+    """A table over a version folder: managed, unless files lie in its default folder."""
+    name = table_name(spark, target)
+    if is_empty(spark, default_folder(spark, target)):
+        spark.catalog.createTable(name, source=provider, schema=schema)
+        spark.sql(f"ALTER TABLE {name} SET LOCATION {text(location)}")
+    else:
+        spark.catalog.createTable(name, path=location, source=provider, schema=schema)
+
+
+def _forget(spark: SparkSession, target: TableRef, old: dict) -> None:
+    """Drops a table and leaves its files: a managed one first reads an empty folder."""
+    name = table_name(spark, target)
+    if old["type"] == "MANAGED":
+        nowhere = f"{versions_folder(spark, target)}/{uuid.uuid4().hex}"
+        spark.sql(f"ALTER TABLE {name} SET LOCATION {text(nowhere)}")
+    spark.sql(f"DROP TABLE {name}")
+
+
+def _restore(spark: SparkSession, target: TableRef, old: dict, schema: StructType) -> None:
+    parts = ", ".join(quote(c) for c in old.get("partition_columns") or [])
+    spark.sql(
+        f"CREATE TABLE {table_name(spark, target)} ({optional(schema).toDDL()})"
+        f" USING {old['provider']}{f' PARTITIONED BY ({parts})' if parts else ''}"
+        f"{_at(old['location'])}"
+    )
+    if parts:
+        spark.sql(f"MSCK REPAIR TABLE {table_name(spark, target)}")
+    kept = old.get("table_properties", {}).get(PREVIOUS)
+    if kept:
+        set_table_properties(spark, target, {PREVIOUS: kept})
+
+
 def _is_own_folder(spark: SparkSession, target: TableRef, old: dict) -> bool:
     """True for a version folder or a managed table's folder, not for one a user registered."""
     managed = old["type"] == "MANAGED" and is_default_folder(spark, target, old["location"])

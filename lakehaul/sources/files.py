@@ -16,12 +16,13 @@ def read_csv(
     With ``schema`` there is no such pass and one odd value cannot turn a whole
     column into text, so give it for any large folder.  Each file's header must then
     name the schema's columns in their order; ``enforceSchema=True`` takes columns by
-    position whatever the header says.  ``options`` go to the reader, e.g. ``sep``,
+    position whatever the header says.  A value that does not fit its type fails the
+    job; ``mode="PERMISSIVE"`` makes it null.  ``options`` go to the reader, e.g. ``sep``,
     ``multiLine`` and ``escape``.
     """
     if schema is None:
         return spark.read.options(**{"header": True, "inferSchema": True, **options}).csv(path)
-    checked = {"header": True, "enforceSchema": False, **options}
+    checked = {"header": True, "enforceSchema": False, "mode": "FAILFAST", **options}
     return spark.read.options(**checked).schema(schema).csv(path)
 
 

@@ -34,7 +34,9 @@ def test_one_odd_value_makes_an_inferred_column_text(spark, tmp_path):
     (tmp_path / "csv" / "b.csv").write_text("n,d\nmany,2024-01-02\n")
     inferred = read_csv(spark, str(tmp_path / "csv"))
     assert inferred.schema.simpleString() == "struct<n:string,d:string>"
-    declared = read_csv(spark, str(tmp_path / "csv"), "n INT, d STRING")
+    with pytest.raises(Exception, match="MALFORMED"):
+        read_csv(spark, str(tmp_path / "csv"), "n INT, d STRING").collect()
+    declared = read_csv(spark, str(tmp_path / "csv"), "n INT, d STRING", mode="PERMISSIVE")
     assert sorted(row.n or 0 for row in declared.collect()) == [0, 1, 2]
 
 

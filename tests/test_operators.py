@@ -20,7 +20,6 @@ from lakehaul.operators import (
     schema_rows,
     with_load_time,
 )
-from lakehaul.operators.shuffles import SETTING, input_bytes, wide_enough
 from tests.conftest import CHANGES
 
 
@@ -162,22 +161,6 @@ def test_rows_without_any_key_fail_the_job(spark):
         require_record_keys(rows, ["k"]).collect()
 
 
-def test_shuffle_width_follows_the_input(spark, given, monkeypatch):
-    monkeypatch.setattr("lakehaul.operators.shuffles.BYTES_PER_PARTITION", 1000)
-    orders = given("orders")
-    assert input_bytes(orders) > 30_000
-    before = spark.conf.get(SETTING)
-    with wide_enough(orders):
-        assert int(spark.conf.get(SETTING)) == -(-input_bytes(orders) // 1000)
-    assert spark.conf.get(SETTING) == before
-
-
-def test_shuffle_width_ignores_inputs_of_unknown_size(spark, changes):
-    before = spark.conf.get(SETTING)
-    with wide_enough(changes):
-        assert spark.conf.get(SETTING) == before
-
-
 def test_optional_allows_nulls_at_every_level(spark):
     strict = spark.sql("SELECT 1 AS a, array(named_struct('b', 2)) AS c, map('k', 3) AS d").schema
     assert "NOT NULL" in strict.toDDL()

@@ -64,19 +64,19 @@ def test_create_insert_read(spark, lake):
     read = create_insert_read(
         spark,
         target,
-        "id BIGINT, data STRING, ts TIMESTAMP",
-        "(1, :name, current_timestamp()), (2, 'test2', current_timestamp())",
+        "code BIGINT, label STRING, added TIMESTAMP",
+        "(1, :name, current_timestamp()), (2, 'plain', current_timestamp())",
         {"name": "it's"},
     )
-    assert rows(read.select("id", "data")) == [(1, "it's"), (2, "test2")]
-    assert read.select("ts").distinct().count() == 1
+    assert rows(read.select("code", "label")) == [(1, "it's"), (2, "plain")]
+    assert read.select("added").distinct().count() == 1
     with pytest.raises(Exception, match="ALREADY_EXISTS"):
         create_table(spark, target, "id INT", if_not_exists=False)
 
 
 def test_column_named_like_a_function(spark, lake):
     target = lake.table("trips")
-    create_table(spark, target, "id string, creation_date string, current_date string")
+    create_table(spark, target, "trip string, day string, current_date string")
     insert_values(spark, target, "('1', '2024-01-01', 'later')")
     assert rows(read_sql(spark, target).select("current_date")) == [("later",)]
 
@@ -319,7 +319,7 @@ def test_keyed_write_replaces_earlier_rows(spark, changes, lake):
     assert loaded.rows == 3
     assert rows(loaded.data) == sorted([CHANGES[0], CHANGES[2], CHANGES[3]])
     assert rows(read_table(spark, target)) == rows(loaded.data)
-    later = changes.where("id = '5021'")
+    later = changes.where("id = 'pump-b'")
     keyed_load(later, path, ["id"], "last_update_time", register_as=target)
     assert rows(read_table(spark, target)) == [CHANGES[2]]
 
@@ -384,7 +384,7 @@ def test_keyed_replace(spark, changes, lake):
     target = lake.table("keyed")
     assert keyed_replace(changes, target, ["id"], "last_update_time") == (3, 3)
     assert keyed_replace(changes, target, ["id"], "last_update_time") == (3, 3)
-    nameless = changes.withColumn("id", F.nullif("id", F.lit("5021")))
+    nameless = changes.withColumn("id", F.nullif("id", F.lit("pump-b")))
     with pytest.raises(Exception, match="without a record key"):
         keyed_replace(nameless, target, ["id"], "last_update_time")
     assert read_table(spark, target).count() == 3

@@ -547,7 +547,8 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     for table in ("lineitem", "part"):
         scratch.register(table, "stock", "source")
     listed = catalog_inventory(spark, scratch.catalog("source"))
-    return listed.where(~F.coalesce("is_temporary", F.lit(False)))
+    stored = listed.where(~F.coalesce("is_temporary", F.lit(False)))
+    return stored.withColumn("unreadable", F.col("reason").isNotNull()).drop("reason")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -783,14 +784,16 @@ ORACLE: dict[str, str] = {
             ('texts', 'completed', 3, 2, 1),
             ('idle', 'completed', 0, 0, 0)
         ) AS s("database", status, total_tables, successful, failed)""",
-    "catalog_inventory": _all(
+    "catalog_inventory": "SELECT *, row_count IS NULL AND \"table\" IS NOT NULL AS unreadable FROM ("
+    + _all(
         [
             *_each(COUNTED, {**TWO_DATABASES, "stock": ("lineitem", "part")}),
             """SELECT 'texts', 'conversations', false, CAST(NULL AS BIGINT)""",
             """SELECT 'idle', CAST(NULL AS VARCHAR), CAST(NULL AS BOOLEAN),
                       CAST(NULL AS BIGINT)""",
         ]
-    ),
+    )
+    + ")",
 }
 
 

@@ -47,6 +47,7 @@ def parser() -> argparse.ArgumentParser:
     keyed = job("keyed", _keyed, "source_table", "output_folder")
     keyed.add_argument("--keys", required=True, help="comma-separated record key")
     keyed.add_argument("--order-by", required=True)
+    keyed.add_argument("--ties", help="comma-separated columns that settle equal --order-by values")
     keyed.add_argument("--table", help="also register the output under this name")
     copy = job("copy", _copy, "source_table", "target_table")
     copy.add_argument("--append", action="store_true", help="append instead of replace")
@@ -54,7 +55,7 @@ def parser() -> argparse.ArgumentParser:
     copy.add_argument("--provider")
     migrate = job("migrate", _migrate, "databases", "source_catalog", "target_catalog")
     migrate.add_argument("--provider")
-    migrate.add_argument("--parallelism", type=int, default=1)
+    migrate.add_argument("--parallelism", type=int, default=4)
     inventory = job("inventory", _inventory)
     inventory.add_argument("--catalog")
     clean = job("clean", _clean)
@@ -66,8 +67,8 @@ def parser() -> argparse.ArgumentParser:
 def main(arguments: Sequence[str] | None = None) -> int:
     logging.basicConfig(level=logging.INFO)
     given = parser().parse_args(arguments)
-    given.run(SparkSession.builder.appName(f"lakehaul-{given.job}").getOrCreate(), given)
-    return 0
+    failed = given.run(SparkSession.builder.appName(f"lakehaul-{given.job}").getOrCreate(), given)
+    return 1 if failed else 0
 
 
 def _load(spark: SparkSession, given: argparse.Namespace) -> None:
@@ -99,6 +100,7 @@ def _keyed(spark: SparkSession, given: argparse.Namespace) -> None:
         given.output_folder,
         [key.strip() for key in given.keys.split(",")],
         given.order_by,
+        ties=[tie.strip() for tie in given.ties.split(",")] if given.ties else None,
         register_as=TableRef.of(given.table) if given.table else None,
     ).data.show()
 
@@ -115,8 +117,8 @@ def _copy(spark: SparkSession, given: argparse.Namespace) -> None:
     copied.target_sample.show()
 
 
-def _migrate(spark: SparkSession, given: argparse.Namespace) -> None:
-    """databases ("*" or a comma-separated list) copied to another catalog"""
+def _migrate(spark: SparkSession, given: argparse.Namespace) -> bool:
+    """databases ("*" or a comma-separated list) copied; fails if any table or database did"""
     done = migrate_databases(
         spark,
         given.databases,
@@ -127,6 +129,7 @@ def _migrate(spark: SparkSession, given: argparse.Namespace) -> None:
     )
     _show_all(done.report)
     _show_all(done.durations)
+    return not done.report.where("status <> 'completed' OR NOT succeeded").isEmpty()
 
 
 def _inventory(spark: SparkSession, given: argparse.Namespace) -> None:

@@ -70,9 +70,10 @@ def database_prefix(spark: SparkSession, catalog: str | None) -> str:
 
 
 def catalog_name(spark: SparkSession, catalog: str | None) -> str:
-    """Quoted name of the catalog that holds the databases."""
+    """Quoted name of the catalog that holds the databases; an unknown one is an error."""
     if is_plugin(spark, catalog):
         return quote(catalog or spark.catalog.currentCatalog())
+    database_prefix(spark, catalog)
     return quote(SESSION_CATALOG)
 
 

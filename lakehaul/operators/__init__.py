@@ -6,6 +6,7 @@ from lakehaul.operators.counts import (
     CountedWrite,
     check_counts,
     count_tables,
+    try_count_tables,
     row_count,
     row_count_sql,
 )
@@ -17,6 +18,7 @@ __all__ = [
     "CountedWrite",
     "check_counts",
     "count_tables",
+    "try_count_tables",
     "empty_like",
     "first_rows",
     "optional",

@@ -2,19 +2,31 @@
 
 from __future__ import annotations
 
+import logging
 import threading
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from lakehaul.errors import message_of
 from lakehaul.names import TableRef, table_name
 from lakehaul.threads import in_threads
 
+log = logging.getLogger(__name__)
+
 # Tables counted by one Spark job; keeps the plan of a large catalog small.
 TABLES_PER_JOB = 25
 
 
+class Counted(NamedTuple):
+    """Rows of a table, or why it could not be read."""
+
+    rows: int | None
+    reason: str | None = None
+
+
 class CountMismatch(ValueError):
     """A copy holds another number of rows than its source."""
 
@@ -66,7 +78,17 @@ def count_tables(
     tables_per_job: int = TABLES_PER_JOB,
     parallelism: int = 4,
 ) -> list[int | None]:
-    """Row counts of many tables, in order; ``None`` for one that cannot be read.
+    """Row counts of many tables, in order; ``None`` for one that cannot be read."""
+    return [found.rows for found in try_count_tables(spark, refs, tables_per_job, parallelism)]
+
+
+def try_count_tables(
+    spark: SparkSession,
+    refs: Sequence[TableRef],
+    tables_per_job: int = TABLES_PER_JOB,
+    parallelism: int = 4,
+) -> list[Counted]:
+    """The same, with the error of each table that cannot be read.
 
     Each job is a union of plain counts: a format that keeps counts in its
     metadata answers without a scan, and Parquet answers from file footers.  If a
@@ -75,9 +97,9 @@ def count_tables(
     names = [table_name(spark, ref) for ref in refs]
     groups = [names[at : at + tables_per_job] for at in range(0, len(names), tables_per_job)]
 
-    def count(group: Sequence[str]) -> list[int | None]:
+    def count(group: Sequence[str]) -> list[Counted]:
         try:
-            return _count_together(spark, group)
+            return [Counted(rows) for rows in _count_together(spark, group)]
         except Exception:
             return in_threads(spark, lambda name: _count_alone(spark, name), group, parallelism)
 
@@ -105,8 +127,9 @@ def _count_together(spark: SparkSession, names: Sequence[str]) -> list[int]:
     return [by_slot[at] for at in range(len(names))]
 
 
-def _count_alone(spark: SparkSession, name: str) -> int | None:
+def _count_alone(spark: SparkSession, name: str) -> Counted:
     try:
-        return _count_together(spark, [name])[0]
-    except Exception:
-        return None
+        return Counted(_count_together(spark, [name])[0])
+    except Exception as error:
+        log.warning("cannot count %s", name, exc_info=error)
+        return Counted(None, message_of(error))

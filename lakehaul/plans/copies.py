@@ -8,6 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 
 from lakehaul.catalog import create_database
+from lakehaul.errors import message_of
 from lakehaul.names import TableRef
 from lakehaul.operators import CountMismatch, first_rows
 from lakehaul.sinks import append_table, clone_empty, replace_table
@@ -60,7 +61,7 @@ def try_copy_table(
     except CountMismatch as error:
         return CopyResult(error.source_count, error.target_count, str(error))
     except Exception as error:
-        log.warning("copy of %s failed: %s", source, message_of(error))
+        log.warning("copy of %s failed", source, exc_info=error)
         return CopyResult(None, None, message_of(error))
 
 
@@ -86,10 +87,3 @@ def append_copy(
         first_rows(read_table(spark, source), sample),
         first_rows(copied, sample),
     )
-
-
-def message_of(error: Exception) -> str:
-    """The text of an error; that of the JVM error if there is one."""
-    cause = getattr(error, "java_exception", None)
-    told = (str(error) if cause is None else cause.toString()).strip()
-    return told or type(error).__name__

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from lakehaul.catalog import ListedTable, list_databases, list_tables
+from lakehaul.errors import message_of
 from lakehaul.names import TableRef
-from lakehaul.operators.counts import TABLES_PER_JOB, count_tables
-from lakehaul.plans.copies import message_of
+from lakehaul.operators.counts import TABLES_PER_JOB, try_count_tables
 from lakehaul.sources.rows import report_rows
 from lakehaul.threads import in_threads
 
@@ -22,6 +22,7 @@ INVENTORY = StructType(
         StructField("table", StringType()),
         StructField("is_temporary", BooleanType()),
         StructField("row_count", LongType()),
+        StructField("reason", StringType()),
     ]
 )
 
@@ -32,11 +33,11 @@ def catalog_inventory(
     tables_per_job: int = TABLES_PER_JOB,
     parallelism: int = 4,
 ) -> DataFrame:
-    """One row per table; a null count means the table cannot be read.
+    """One row per table; a null count means the table cannot be read, for ``reason``.
 
     Temporary views are listed with their flag and not counted, since they belong
-    to no database.  A database without tables, or whose tables cannot be listed,
-    is one row with no table.  ``parallelism`` listings or count jobs run at a time.
+    to no database.  A database without tables is one row with no table; if its tables
+    cannot be listed, that row has a ``reason``.  ``parallelism`` listings or count jobs run at a time.
     """
     databases = list_databases(spark, catalog)
     entries = in_threads(
@@ -46,24 +47,26 @@ def catalog_inventory(
     stored = [
         TableRef(database, entry.table, catalog)
         for database, entry in listed
-        if entry and not entry.is_temporary
+        if isinstance(entry, ListedTable) and not entry.is_temporary
     ]
-    counts = dict(zip(stored, count_tables(spark, stored, tables_per_job, parallelism)))
+    counts = dict(zip(stored, try_count_tables(spark, stored, tables_per_job, parallelism)))
     rows = []
     for database, entry in listed:
-        if entry is None:
-            rows.append((database, None, None, None))
+        if entry is None or isinstance(entry, str):
+            rows.append((database, None, None, None, entry))
+        elif entry.is_temporary:
+            rows.append((database, *entry, None, None))
         else:
-            count = counts.get(TableRef(database, entry.table, catalog))
-            rows.append((database, *entry, None if entry.is_temporary else count))
+            rows.append((database, *entry, *counts[TableRef(database, entry.table, catalog)]))
     return report_rows(spark, rows, INVENTORY)
 
 
 def _entries(
     spark: SparkSession, database: str, catalog: str | None
-) -> list[ListedTable] | list[None]:
+) -> list[ListedTable] | list[str | None]:
+    """Tables of a database; for none, why they cannot be listed, or ``None``."""
     try:
         return list_tables(spark, database, catalog) or [None]
     except Exception as error:
         log.warning("cannot list the tables of %s: %s", database, message_of(error))
-        return [None]
+        return [message_of(error)]

@@ -16,8 +16,9 @@ from pyspark.sql.types import (
 )
 
 from lakehaul.catalog import create_database, list_databases, list_tables
-from lakehaul.names import TableRef
-from lakehaul.plans.copies import message_of, try_copy_table
+from lakehaul.errors import message_of
+from lakehaul.names import TableRef, catalog_name
+from lakehaul.plans.copies import try_copy_table
 from lakehaul.sources.rows import report_rows
 from lakehaul.threads import in_threads
 
@@ -63,7 +64,7 @@ def migrate_database(
     source_catalog: str | None,
     target_catalog: str | None,
     provider: str | None = None,
-    parallelism: int = 1,
+    parallelism: int = 4,
 ) -> DataFrame:
     """Copies every table of one database; the report as a frame.
 
@@ -89,13 +90,15 @@ def migrate_databases(
     source_catalog: str | None,
     target_catalog: str | None,
     provider: str | None = None,
-    parallelism: int = 1,
+    parallelism: int = 4,
 ) -> Migration:
     """Copies the databases named in ``selector``: ``"*"``, or a list like ``"a, b"``.
 
     Databases and tables keep their names.  ``parallelism`` tables are copied at a
-    time, whatever database they are in; one at a time keeps the order of the listing.
+    time, whatever database they are in; the report keeps the order of the listing.
+    A catalog the session does not know is an error before anything is written.
     """
+    catalog_name(spark, target_catalog)
     available = list_databases(spark, source_catalog)
     ended: dict[str, tuple] = {}
     listed: list[tuple[str, str]] = []

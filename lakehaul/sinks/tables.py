@@ -196,14 +196,12 @@ def _reads(spark: SparkSession, target: TableRef, path: str) -> bool:
 
 def _replace_in_plugin(df: DataFrame, target: TableRef, provider: str | None) -> Written:
     spark = df.sparkSession
-    counted = CountedWrite(df)
-    writer = counted.rows.writeTo(table_name(spark, target))
+    # Counted before the commit: the rows may come from the target, and where a format
+    # shuffles before it writes, repeated tasks would count twice in the writing stage.
+    source = df.count()
+    writer = df.writeTo(table_name(spark, target))
     (writer.using(provider) if provider else writer).createOrReplace()
-    source, found = counted.count(), read_table(spark, target).count()
-    if source != found:
-        # Where a format shuffles rows before it writes them, tasks repeated after the
-        # loss of an executor count twice; only a count of its own can tell.
-        source = df.count()
+    found = read_table(spark, target).count()
     require_equal("the source", source, target, found)
     return Written(source, found)
 

@@ -95,10 +95,13 @@ def test_replace_compares_the_counts(session):
         replace_table(RecordingFrame(recording, 3), TARGET)
 
 
-def test_a_count_that_is_off_is_taken_again(session, monkeypatch):
-    monkeypatch.setattr(COUNT, lambda self: 5)
-    recording = session(rows_found=3)
-    assert replace_table(RecordingFrame(recording, 3), TARGET) == (3, 3)
+def test_replace_counts_before_the_commit_and_without_events(session, monkeypatch):
+    monkeypatch.delattr(COUNT)
+    recording, order = session(rows_found=3), []
+    source = RecordingFrame(recording, 3)
+    monkeypatch.setattr(source, "count", lambda: order.append(len(recording.calls)) or 3)
+    assert replace_table(source, TARGET) == (3, 3)
+    assert order == [0]
 
 
 def test_append_is_the_catalogs_own(session):

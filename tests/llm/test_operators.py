@@ -179,6 +179,32 @@ def test_pii(docs):
     assert base_spans("1" * 5000 + ".1.1.1") == []
 
 
+@pytest.mark.parametrize("times", [1, 400])
+def test_pii_in_other_forms(spark, times):
+    other = {
+        "email": "bosbt.{0} [at] mail8 [dot] example [dot] org",
+        "phone": "(743) 555-{0}",
+        "card": "4111.1111.1111.1111",
+    }
+    rows, want = [], {}
+    for i in range(3 * times):
+        kind, form = list(other.items())[i % 3]
+        span = form.format(1000 + i)
+        text = f"und +1 (743) 555-{1000 + i} ou {span} la, 2023-01-15 12-30, 4111.1111.1111.1112"
+        start = text.rindex(span)
+        rows.append((i, text))
+        want[i] = f"{kind}:{start}:{start + len(span)}"
+    found = find_pii(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)).collect()
+    assert {r.doc_id: ",".join(s for s in r.spans.split(",") if s not in r.base.split(",")) for r in found} == want
+
+
+def test_pii_in_other_forms_only(spark):
+    # No base span at all, and many numbers without a plus.
+    rows = [(i, f"la rue (743) 555-{1000 + i} und so") for i in range(900)]
+    found = find_pii(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {(r.base, r.spans) for r in found} == {("", "phone:7:21")}
+
+
 def test_voronoi_knn(spark):
     rng = np.random.default_rng(5)
     rows = [(i, [float(x) for x in rng.normal(size=4)], 1) for i in range(120)]

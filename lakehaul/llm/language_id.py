@@ -7,9 +7,11 @@ the mean of its places.  The word's evidence is what its languages' values diffe
 A text's score is the share of the best language if evidence is added up and
 exponentiated.
 
-The tables are learned from at most ``FIT_DOCS`` labelled documents, chosen by hash
-(all, if there are fewer), and hold the most frequent ``WORDS`` words and ``GRAMS``
-n-grams of each length for each language.  Prediction reads every text whole.
+The tables are learned from about ``FIT_DOCS`` labelled documents, chosen by hash (all, if
+there are fewer), and hold the most frequent ``WORDS`` words and ``GRAMS`` n-grams of each
+length for each language.  The sample is drawn per language: a language of at most
+``LANG_DOCS`` documents is learned from all of them, and one of more from at least about as
+many, so the size of the table loses no language.  Prediction reads every text whole.
 """
 
 from __future__ import annotations
@@ -27,8 +29,9 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from lakehaul.llm.shared import written
 
-#: Labelled documents that the tables are learned from, at most.
-FIT_DOCS = 20_000
+#: Labelled documents that the tables are learned from, about, and those of each language
+#: that are learned from in any case.
+FIT_DOCS, LANG_DOCS = 20_000, 1_000
 #: Words and n-grams of one length, per language, in the tables.
 WORDS, GRAMS = 40_000, 10_000
 #: Characters of the longest n-gram, and of a word (the rest of longer ones is other words).
@@ -70,15 +73,26 @@ def count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 )
 
 
+def sampled(labelled: DataFrame, fit_docs: int) -> DataFrame:
+    """All rows of ``id``, ``text`` and ``lang`` up to ``fit_docs``.  Of more, each language's
+    share of ``fit_docs``, but ``LANG_DOCS`` documents (all, if it has fewer) at least."""
+    scale = 1 << 40
+    drawn = labelled.withColumn("draw", F.pmod(F.xxhash64("id", "text"), F.lit(scale)))
+    sizes = written(
+        drawn.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("draw").alias("least")), "language-sizes"
+    )
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    if total <= fit_docs:
+        return labelled
+    wanted = F.greatest(F.col("n") * fit_docs / total, F.lit(min(LANG_DOCS, fit_docs)))
+    # The first one drawn belongs to the sample even if no other does.
+    limits = sizes.select("lang", F.greatest(wanted / F.col("n") * scale, F.col("least") + 1).alias("limit"))
+    return drawn.join(F.broadcast(limits), "lang").where(F.col("draw") < F.col("limit"))
+
+
 def fit(docs: DataFrame, fit_docs: int, words: int, grams: int) -> dict:
     """Languages, and for each kind the evidence of its features."""
-    labelled = docs.where("learn AND lang IS NOT NULL AND text IS NOT NULL")
-    total = labelled.count()
-    if total > fit_docs:
-        scale = 1 << 40
-        labelled = labelled.where(
-            F.pmod(F.xxhash64("id", "text"), F.lit(scale)) < int(scale * fit_docs / total)
-        )
+    labelled = sampled(docs.where("learn AND lang IS NOT NULL AND text IS NOT NULL"), fit_docs)
     counts = written(
         labelled.select("lang", "text")
         .mapInArrow(count_features, FEATURES)
@@ -104,7 +118,9 @@ def fit(docs: DataFrame, fit_docs: int, words: int, grams: int) -> dict:
     for kind, table in enumerate(tables):
         sums = np.array([totals.get((kind, lang), 0) for lang in langs], dtype=np.float64)
         matrix = np.array(list(table.values()), dtype=np.float64).reshape(len(table), len(langs))
-        logs = np.log((matrix + 0.5) / (sums + 0.5 * (len(table) + 1)))
+        # A feature that a language lacks has one value in all, however much each has been
+        # learned from; else those of few documents would attract the rare words of the rest.
+        logs = np.log(matrix / np.maximum(sums, 1) + 0.5 / max(sums.max(initial=0), 1))
         logs -= logs.mean(axis=1, keepdims=True) if len(table) else 0
         evidence.append(dict(zip(table, logs.tolist(), strict=True)))
     return {"langs": langs, "evidence": evidence}

@@ -132,6 +132,18 @@ def test_language_id(docs):
     assert rows[5].held_out == (zlib.crc32(b"5") % 4 == 2)
 
 
+def test_language_of_few_documents(spark):
+    rng = np.random.default_rng(11)
+    common, rare = ["the", "of", "and", "with"], ["ggü", "kko", "zzy", "qox"]
+    rows = [(i, " ".join([*rng.choice(common, 2), *(f"n{''.join(rng.choice(list('abcdefgh'), 6))}" for _ in range(6))]), "en") for i in range(3000)]
+    rows += [(3000 + i, " ".join(rng.choice(rare, 8)), "xx") for i in range(12)]
+    rows += [(None, "aaap aaap", "yy")] * 50
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    found = language_id(table, fit_docs=40).collect()
+    want = {i: lang for i, _, lang in rows}
+    assert [r for r in found if r.lang_pred != want[r.doc_id]] == []
+
+
 def test_packing(docs, spark):
     rng = np.random.default_rng(3)
     rows = [(int(i), 0, 0, 0, int(n), 0) for i, n in enumerate(rng.integers(1, 101, 700))]

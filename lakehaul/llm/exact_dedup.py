@@ -1,8 +1,10 @@
 """Exact duplicates by a cuckoo-filter index over live digests.
 
-Texts are normalised and digested on Spark, and rows of one digest are aggregated before
-they are shuffled, so a text with very many copies is one row per input partition.  The
-digests are dealt to shards by hash.  Each shard keeps
+Texts are normalised and digested on Spark, and an exact ``groupBy`` makes one row of each
+digest, partly before the shuffle, so a text with very many copies is no hot key.  The
+digests are dealt to shards by hash.  Each of them comes to its shard once: here the index
+finds no further duplicate, and hits and deletions occur only where it is fed rows that
+were not aggregated (as in the tests).  Each shard keeps
 
 * a cuckoo filter: four 16-bit fingerprints a bucket, two buckets a digest, the second
   found from the first and the fingerprint alone, so entries can be moved and deleted;

@@ -237,9 +237,11 @@ def with_language(
 
 
 def in_known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text is in one of the learned languages."""
+    """The rows of ``docs`` whose text is in one of the learned languages; if none could be
+    learned, those whose text has a letter."""
     rows = with_language(docs, id_col, text_col, "lang", FIT_DOCS, WORDS, GRAMS)
-    return rows.where(F.col("lang_pred") != UNKNOWN).select("row.*")
+    known = (F.col("lang_pred") != UNKNOWN) | F.col(f"row.{text_col}").rlike(r"\p{L}")
+    return rows.where(known).select("row.*")
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:

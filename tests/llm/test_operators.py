@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakehaul.llm.exact_dedup import CuckooFilter, DigestIndex, exact_dedup
-from lakehaul.llm.language_id import language_id
+from lakehaul.llm.language_id import in_known_language, language_id
 from lakehaul.llm.ngram_join import ngram_join
 from lakehaul.llm.packing import best_fit_packing, token_pieces
 from lakehaul.llm.pii import base_spans, find_pii
@@ -144,6 +144,12 @@ def test_language_of_few_documents(spark):
     assert [r for r in found if r.lang_pred != want[r.doc_id]] == []
 
 
+def test_language_stage_without_labels(docs):
+    found = in_known_language(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
+    want = [r.text for r in docs.collect() if any(map(str.isalpha, r.text or ""))]
+    assert Counter(r.text for r in found) == Counter(want)
+
+
 def test_packing(docs, spark):
     rng = np.random.default_rng(3)
     rows = [(int(i), 0, 0, 0, int(n), 0) for i, n in enumerate(rng.integers(1, 101, 700))]

@@ -9,7 +9,9 @@ own suffixes only.  The shards' indexes are then merged by refining their interl
   the block of the h bytes before it, so one step back over such a letter (the LF
   step, taken h bytes at a time) splits each block by the block h bytes further on.
   Every shard orders its pairs of blocks; the sorted lists of the shards are
-  interleaved and common pairs become one block.  Suffixes are not compared again.
+  interleaved and common pairs become one block.  This is prefix doubling: each round
+  sorts the pairs of all live suffixes again.  No Burrows-Wheeler transform and no array
+  of common prefixes is built.
 * A block with one suffix in the whole bucket is done: its common prefix with any other
   suffix is shorter than the depth.  It leaves the later rounds.
 * Blocks that are left at depth ``width`` are the intervals of suffixes whose common

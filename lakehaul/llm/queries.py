@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from lakehaul.llm import exact_dedup, voronoi_knn
+from lakehaul.llm import exact_dedup, hard_negatives, voronoi_knn
 from lakehaul.llm.exact_dedup import op6_exact_dedup
+from lakehaul.llm.hard_negatives import op11_hard_negatives
 from lakehaul.llm.language_id import op3_language_id
 from lakehaul.llm.ngram_join import op4_ngram_join
 from lakehaul.llm.packing import op5_best_fit_packing
@@ -12,6 +13,7 @@ from lakehaul.llm.source_mix import op9_source_mix
 from lakehaul.llm.substring_dedup import op8_substring_dedup
 from lakehaul.llm.suffix_dedup import op1_suffix_dedup
 from lakehaul.llm.token_files import op10_token_files
+from lakehaul.llm.url_filters import op13_url_filters
 from lakehaul.llm.voronoi_knn import op7_voronoi_knn
 
 QUERIES = {
@@ -25,6 +27,12 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_source_mix": op9_source_mix,
     "op10_token_files": op10_token_files,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op13_url_filters": op13_url_filters,
 }
 
-SQL = {"op6_exact_dedup": exact_dedup.SQL, "op7_voronoi_knn": voronoi_knn.SQL}
+SQL = {
+    "op6_exact_dedup": exact_dedup.SQL,
+    "op7_voronoi_knn": voronoi_knn.SQL,
+    "op11_hard_negatives": hard_negatives.SQL,
+}

@@ -13,6 +13,7 @@ from lakehaul.llm.source_mix import op9_source_mix
 from lakehaul.llm.substring_dedup import op8_substring_dedup
 from lakehaul.llm.suffix_dedup import op1_suffix_dedup
 from lakehaul.llm.token_files import op10_token_files
+from lakehaul.llm.tokenizer_alignment import op12_tokenizer_alignment
 from lakehaul.llm.url_filters import op13_url_filters
 from lakehaul.llm.voronoi_knn import op7_voronoi_knn
 
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_source_mix": op9_source_mix,
     "op10_token_files": op10_token_files,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
     "op13_url_filters": op13_url_filters,
 }
 

@@ -18,7 +18,7 @@ from lakehaul.names import (
     table_name,
     text,
 )
-from lakehaul.storage import delete_folder, same_folder
+from lakehaul.storage import delete_folder, folder_bytes, plan_bytes, same_folder
 
 
 # Table property: the folder a table pointed to before its present one.
@@ -127,6 +127,14 @@ def details(spark: SparkSession, ref: TableRef) -> dict:
     return json.loads(row[0])
 
 
+def table_bytes(spark: SparkSession, ref: TableRef) -> int | None:
+    """Size of a table's files, without reading one; ``None`` where it is not known."""
+    if is_plugin(spark, ref.catalog):
+        return plan_bytes(spark.table(table_name(spark, ref)))
+    location = details(spark, ref).get("location")
+    return folder_bytes(spark, location) if location else None
+
+
 def delete_previous(spark: SparkSession, ref: TableRef, details: dict) -> None:
     """Deletes the version that the described table pointed to before its present one.
 

@@ -7,7 +7,7 @@ import threading
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lakehaul.errors import message_of
@@ -18,6 +18,8 @@ log = logging.getLogger(__name__)
 
 # Tables counted by one Spark job; keeps the plan of a large catalog small.
 TABLES_PER_JOB = 25
+# Name of the count that rides on a write.
+WRITTEN = "lakehaul_rows"
 
 
 class Counted(NamedTuple):
@@ -46,6 +48,10 @@ def row_count_sql(spark: SparkSession, ref: TableRef) -> DataFrame:
     return spark.sql(f"SELECT count(*) AS cnt FROM {table_name(spark, ref)}")
 
 
+class CountLost(RuntimeError):
+    """Rows were written, but their number did not reach the driver."""
+
+
 class CountedWrite:
     """Counts rows while one action writes them, so that the source is read once.
 
@@ -53,23 +59,29 @@ class CountedWrite:
         counted.rows.write.parquet(path)
         n = counted.count()
 
-    The count reaches the driver as a listener event, and a very busy listener
-    bus may drop events.  ``count`` therefore waits for ``patience`` seconds and
-    after that counts the source itself.
+    ``extra`` are further aggregates of the same pass, by the names of their columns.  The
+    values reach the driver as a listener event, and a very busy listener bus may drop events:
+    then ``measured`` raises ``CountLost`` after ``patience`` seconds.  The source is never
+    counted in its place, as by then it may hold other rows.
     """
 
-    def __init__(self, df: DataFrame, patience: float = 60.0):
-        self._df = df
+    def __init__(self, df: DataFrame, patience: float = 60.0, extra: Sequence[Column] = ()):
         self._patience = patience
         self._observation = Observation()
-        self.rows = df.observe(self._observation, F.count(F.lit(1)).alias("rows"))
+        self.rows = df.observe(self._observation, F.count(F.lit(1)).alias(WRITTEN), *extra)
 
-    def count(self) -> int:
-        seen: dict[str, int] = {}
+    def measured(self) -> dict:
+        """All values of the pass."""
+        seen: dict = {}
         waiter = threading.Thread(target=lambda: seen.update(self._observation.get), daemon=True)
         waiter.start()
         waiter.join(self._patience)
-        return seen["rows"] if "rows" in seen else self._df.count()
+        if WRITTEN not in seen:
+            raise CountLost("the rows were written, but their number did not reach the driver")
+        return seen
+
+    def count(self) -> int:
+        return self.measured()[WRITTEN]
 
 
 def count_tables(

@@ -7,15 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import (
-    ArrayType,
-    DataType,
-    MapType,
-    StructType,
-    VariantType,
-)
-
 from lakehaul.names import quote
+from lakehaul.operators.canonical import canonical
 
 RANK = "__precombine_rank"
 
@@ -56,8 +49,10 @@ def precombine(
     """Keeps, per key, the row with the highest ``order_by``; nulls rank last.
 
     Equal ordering values are settled by ``ties``, highest first.  Without
-    ``ties`` all other sortable columns settle them, so the result does not depend
-    on how the rows are spread.  Naming ``ties`` keeps the sort key short.
+    ``ties`` all other columns settle them, so the result does not depend on how the
+    rows are spread: maps by their entries in key order, variants by their JSON text,
+    calendar intervals by months, days and microseconds.  Naming ``ties`` keeps the sort
+    key short.
 
     Spark ranks inside every input partition before the shuffle and sends at most
     one row per key from each, so a hot key costs no more than any other.
@@ -68,19 +63,10 @@ def precombine(
         ties = require_columns(df, ties)
     else:
         taken = {*keys, order_by}
-        ties = [f.name for f in df.schema if f.name not in taken and _sorts(f.dataType)]
+        ties = [f.name for f in df.schema if f.name not in taken]
+    sorted_by = [canonical(F.col(quote(name)), df.schema[name].dataType) for name in (order_by, *ties)]
     ranking = Window.partitionBy(*map(quote, keys)).orderBy(
-        *[F.col(quote(name)).desc_nulls_last() for name in (order_by, *ties)]
+        *[value.desc_nulls_last() for value in sorted_by]
     )
     ranked = df.withColumn(RANK, F.row_number().over(ranking))
     return ranked.where(F.col(RANK) == 1).drop(RANK)
-
-
-def _sorts(kind: DataType) -> bool:
-    if isinstance(kind, (MapType, VariantType)):
-        return False
-    if isinstance(kind, ArrayType):
-        return _sorts(kind.elementType)
-    if isinstance(kind, StructType):
-        return all(_sorts(field.dataType) for field in kind)
-    return True

@@ -7,11 +7,11 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakehaul.catalog import create_database
+from lakehaul.catalog import create_database, table_bytes, table_shape
 from lakehaul.errors import message_of
 from lakehaul.names import TableRef
 from lakehaul.operators import CountMismatch, first_rows
-from lakehaul.sinks import append_table, clone_empty, replace_table
+from lakehaul.sinks import COUNT, Written, append_table, clone_empty, replace_table
 from lakehaul.sources import read_table
 
 log = logging.getLogger(__name__)
@@ -37,26 +37,39 @@ class AppendedCopy(NamedTuple):
 
 
 def copy_table(
-    spark: SparkSession, source: TableRef, target: TableRef, provider: str | None = None
+    spark: SparkSession,
+    source: TableRef,
+    target: TableRef,
+    provider: str | None = None,
+    check: str = COUNT,
+    file_bytes: int | None = None,
 ) -> CopyResult:
-    """Replaces the target by the source's rows and columns and checks the count.
+    """Replaces the target by the source's rows and declaration and checks the count.
 
-    Running it again gives the same table.  Raises if the copy fails.
+    Partitions, comments, defaults, text lengths and properties are declared as the source
+    does.  ``check="content"`` compares fingerprints of the rows too, ``file_bytes`` makes
+    files of about that size; see ``replace_table``.  Running it again gives the same table.
+    Raises if the copy fails.
     """
     create_database(spark, target.database, target.catalog)
-    counts = replace_table(read_table(spark, source), target, provider)
+    counts = _replace(spark, source, target, provider, check, file_bytes)
     return CopyResult(counts.source_count, counts.target_count)
 
 
 def try_copy_table(
-    spark: SparkSession, source: TableRef, target: TableRef, provider: str | None = None
+    spark: SparkSession,
+    source: TableRef,
+    target: TableRef,
+    provider: str | None = None,
+    check: str = COUNT,
+    file_bytes: int | None = None,
 ) -> CopyResult:
     """``copy_table`` whose failure is a result, so that a list of copies goes on.
 
     The target database must exist.
     """
     try:
-        counts = replace_table(read_table(spark, source), target, provider)
+        counts = _replace(spark, source, target, provider, check, file_bytes)
         return CopyResult(counts.source_count, counts.target_count)
     except CountMismatch as error:
         return CopyResult(error.source_count, error.target_count, str(error))
@@ -65,6 +78,25 @@ def try_copy_table(
         return CopyResult(None, None, message_of(error))
 
 
+def _replace(
+    spark: SparkSession,
+    source: TableRef,
+    target: TableRef,
+    provider: str | None,
+    check: str,
+    file_bytes: int | None,
+) -> Written:
+    return replace_table(
+        read_table(spark, source),
+        target,
+        provider,
+        shape=table_shape(spark, source),
+        check=check,
+        file_bytes=file_bytes,
+        input_bytes=table_bytes(spark, source) if file_bytes else None,
+    )
+
+
 def append_copy(
     spark: SparkSession,
     source: TableRef,

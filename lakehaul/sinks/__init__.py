@@ -3,6 +3,9 @@
 from lakehaul.sinks.files import replace_folder, write_folder
 from lakehaul.sinks.keyed import keyed_replace, keyed_write
 from lakehaul.sinks.tables import (
+    CONTENT,
+    COUNT,
+    Written,
     append_table,
     clone_empty,
     create_table,
@@ -14,6 +17,9 @@ from lakehaul.sinks.tables import (
 )
 
 __all__ = [
+    "CONTENT",
+    "COUNT",
+    "Written",
     "append_table",
     "clone_empty",
     "create_table",

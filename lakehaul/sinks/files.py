@@ -1,29 +1,62 @@
 from __future__ import annotations
 
+import math
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from lakehaul.operators.counts import CountedWrite
-from lakehaul.storage import delete_folder, folder_exists, is_empty, swap_in
+from lakehaul.names import quote
+from lakehaul.operators.counts import CountedWrite, CountLost
+from lakehaul.sources.files import read_folder
+from lakehaul.storage import delete_folder, folder_exists, is_empty, plan_bytes, swap_in
 
 
-def write_folder(df: DataFrame, path: str, **options) -> int:
+def sized(
+    df: DataFrame,
+    file_bytes: int,
+    partition_by: Sequence[str] = (),
+    input_bytes: int | None = None,
+) -> DataFrame:
+    """The rows dealt out so that a write makes files of about ``file_bytes``.
+
+    One shuffle, whose width is the size of the input over that of a file.  With partition
+    columns the rows of a partition come together, and adaptive execution divides what is
+    too large for a task, so a partition that holds a third of all rows is written by many.
+    ``input_bytes`` is needed where Spark does not know the size of the input, as with a
+    partitioned table of the session catalog.
+    """
+    known = plan_bytes(df) if input_bytes is None else input_bytes
+    if known is None:
+        raise ValueError("the size of the input is not known: give input_bytes")
+    files = max(1, math.ceil(known / file_bytes))
+    if not partition_by:
+        return df.repartition(files)
+    return df.hint("rebalance", files, *[F.col(quote(column)) for column in partition_by])
+
+
+def write_folder(df: DataFrame, path: str, file_bytes: int | None = None, **options) -> int:
     """Writes a new Parquet folder and returns the number of rows written.
 
     A folder that exists is refused.  A failed write leaves no empty folder behind,
-    so that it can be tried again.
+    so that it can be tried again.  ``file_bytes`` deals the rows to files of about
+    that size; without it nothing is shuffled.
     """
     spark = df.sparkSession
     existed = folder_exists(spark, path)
-    counted = CountedWrite(df)
+    counted = CountedWrite(sized(df, file_bytes) if file_bytes else df)
     try:
         counted.rows.write.mode("errorifexists").options(**options).parquet(path)
     except Exception:
         if not existed and is_empty(spark, path):
             delete_folder(spark, path)
         raise
-    return counted.count()
+    try:
+        return counted.count()
+    except CountLost:
+        # The folder is new, so its files hold these rows and no others.
+        return read_folder(spark, path, df.schema).count()
 
 
 def replace_folder(df: DataFrame, path: str, **options) -> int:

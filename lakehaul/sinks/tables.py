@@ -11,12 +11,14 @@ old table as it was.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lakehaul.catalog.shapes import TableShape, table_shape, type_text
 from lakehaul.catalog.statements import (
     PREVIOUS,
     default_folder,
@@ -39,13 +41,20 @@ from lakehaul.names import (
 )
 from lakehaul.operators.columns import optional
 from lakehaul.operators.counts import CountedWrite, require_equal
+from lakehaul.operators.fingerprint import (
+    fingerprint,
+    fingerprint_columns,
+    fingerprint_of,
+    require_same_content,
+)
+from lakehaul.sinks.files import sized
 from lakehaul.sources.files import read_folder
 from lakehaul.sources.tables import read_table
 from lakehaul.storage import delete_folder, is_empty, same_folder
 
 DEFAULT_PROVIDER = "parquet"
-# Where Spark keeps the declared type of a CHAR or VARCHAR column.
-TEXT_LENGTH = "__CHAR_VARCHAR_TYPE_STRING"
+# How a copy is compared with its source.
+COUNT, CONTENT = "count", "content"
 
 
 class Written(NamedTuple):
@@ -78,19 +87,29 @@ def clone_empty(
     provider: str | None = None,
     location: str | None = None,
 ) -> None:
-    """A table with the columns of ``source`` and no rows; no-op if it exists.
+    """A table declared as ``source`` is, without rows; no-op if it exists.
 
+    Partitions, comments, defaults, text lengths and properties are declared too.
     ``location`` must not hold files: on the session catalog they would be deleted.
     """
     if table_exists(spark, target):
         return
-    if location and not is_plugin(spark, target.catalog) and not is_empty(spark, location):
+    plugin = is_plugin(spark, target.catalog)
+    if location and not plugin and not is_empty(spark, location):
         raise ValueError(f"location of an empty clone holds files: {location}")
-    spark.sql(
-        f"CREATE TABLE IF NOT EXISTS {table_name(spark, target)}"
-        f"{_using(spark, target, provider)}{_at(location)}"
-        f" AS SELECT * FROM {table_name(spark, source)} WHERE 1 = 0"
-    )
+    name, using = table_name(spark, target), _using(spark, target, provider)
+    shape = table_shape(spark, source)
+    if plugin:
+        # The catalog takes the columns, comments included, from the query.
+        spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {name}{using}{_at(location)}{shape.clauses()}"
+            f" AS SELECT * FROM {table_name(spark, source)} WHERE 1 = 0"
+        )
+    else:
+        spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {name} ({shape.column_list()}){using}{_at(location)}"
+            f"{shape.clauses()}"
+        )
 
 
 def append_table(df: DataFrame, target: TableRef) -> int:
@@ -121,24 +140,52 @@ def insert_values(
     spark.sql(f"INSERT INTO {table_name(spark, target)} VALUES {values}", args=args)
 
 
-def replace_table(df: DataFrame, target: TableRef, provider: str | None = None) -> Written:
+def replace_table(
+    df: DataFrame,
+    target: TableRef,
+    provider: str | None = None,
+    partition_by: Sequence[str] = (),
+    shape: TableShape | None = None,
+    check: str = COUNT,
+    file_bytes: int | None = None,
+    input_bytes: int | None = None,
+) -> Written:
     """Creates the table from these rows, or replaces its rows and columns.
 
     The source is read once, by the write; the new table is counted afterwards and
-    ``CountMismatch`` raised if it differs.  ``df`` may read the target itself.
+    ``CountMismatch`` raised if it differs.  With ``check="content"`` the write also takes a
+    fingerprint of its rows, which one scan of the new table has to give again, or else
+    ``ContentMismatch`` is raised.  ``df`` may read the target itself.
+
+    ``partition_by`` names partition columns, ``shape`` all that the table declares, partitions
+    included.  ``file_bytes`` deals the rows to files of about that size, with one shuffle;
+    ``input_bytes`` says how large the rows are where Spark cannot tell.  Without it no row is
+    shuffled, and files are as many as the source's tasks.
     """
     spark = df.sparkSession
+    shape = shape or TableShape(optional(df.schema), tuple(partition_by))
+    rows = sized(df, file_bytes, shape.partition_by, input_bytes) if file_bytes else df
     if is_plugin(spark, target.catalog):
-        return _replace_in_plugin(df, target, provider)
+        return _replace_in_plugin(df, rows, target, provider, shape, check)
     provider = provider or DEFAULT_PROVIDER
     location = f"{versions_folder(spark, target)}/{uuid.uuid4().hex}"
+    extra = fingerprint_columns(df.schema) if check == CONTENT else []
     try:
-        counted = CountedWrite(df)
-        counted.rows.write.format(provider).save(location)
-        written = read_folder(spark, location, df.schema, provider).count()
-        counts = Written(counted.count(), written)
-        require_equal("the source", counts.source_count, target, counts.target_count)
-        _publish(spark, target, df.schema, provider, location)
+        counted = CountedWrite(rows, extra=[*extra, *_blanks(df, shape.partition_by)])
+        writer = counted.rows.write.format(provider)
+        (writer.partitionBy(*shape.partition_by) if shape.partition_by else writer).save(location)
+        found = read_folder(spark, location, df.schema, provider)
+        if shape.partition_by:
+            _require_no_blanks(shape.partition_by, counted.measured())
+        if check == CONTENT:
+            of_source = fingerprint_of(counted.measured(), df.schema)
+            of_target = fingerprint(found, df.schema)
+            require_same_content("the source", of_source, target, of_target)
+            counts = Written(of_source.rows, of_target.rows)
+        else:
+            counts = Written(counted.count(), found.count())
+            require_equal("the source", counts.source_count, target, counts.target_count)
+        _publish(spark, target, shape, provider, location)
     except Exception:
         if not _reads(spark, target, location):
             delete_folder(spark, location)
@@ -146,6 +193,23 @@ def replace_table(df: DataFrame, target: TableRef, provider: str | None = None)
     return counts
 
 
+def _blanks(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """Rows whose partition value no folder can be named after."""
+    return [
+        F.count_if(F.col(quote(column)).cast("string") == "").alias(f"lakehaul_blank_{at}")
+        for at, column in enumerate(columns)
+    ]
+
+
+def _require_no_blanks(columns: Sequence[str], measured: dict) -> None:
+    """An empty text would be read back as null."""
+    for at, column in enumerate(columns):
+        if measured[f"lakehaul_blank_{at}"]:
+            raise ValueError(
+                f"{measured[f'lakehaul_blank_{at}']} rows have an empty text in partition column {column}"
+            )
+
+
 def register_folder(
     spark: SparkSession,
     target: TableRef,
@@ -194,40 +258,58 @@ def _reads(spark: SparkSession, target: TableRef, path: str) -> bool:
     )
 
 
-def _replace_in_plugin(df: DataFrame, target: TableRef, provider: str | None) -> Written:
+def _replace_in_plugin(
+    df: DataFrame,
+    rows: DataFrame,
+    target: TableRef,
+    provider: str | None,
+    shape: TableShape,
+    check: str,
+) -> Written:
     spark = df.sparkSession
-    # Counted before the commit: the rows may come from the target, and where a format
+    # Measured before the commit: the rows may come from the target, and where a format
     # shuffles before it writes, repeated tasks would count twice in the writing stage.
-    source = df.count()
-    writer = df.writeTo(table_name(spark, target))
-    (writer.using(provider) if provider else writer).createOrReplace()
-    found = read_table(spark, target).count()
-    require_equal("the source", source, target, found)
-    return Written(source, found)
+    before = fingerprint(df) if check == CONTENT else df.count()
+    writer = rows.writeTo(table_name(spark, target))
+    if provider:
+        writer = writer.using(provider)
+    if shape.partition_by:
+        writer = writer.partitionedBy(*[F.col(quote(column)) for column in shape.partition_by])
+    for key, value in (shape.properties or {}).items():
+        writer = writer.tableProperty(key, value)
+    writer.createOrReplace()
+    found = read_table(spark, target)
+    if check == CONTENT:
+        after = fingerprint(found, df.schema)
+        require_same_content("the source", before, target, after)
+        return Written(before.rows, after.rows)
+    after = found.count()
+    require_equal("the source", before, target, after)
+    return Written(before, after)
 
 
 def _publish(
-    spark: SparkSession, target: TableRef, schema: StructType, provider: str, location: str
+    spark: SparkSession, target: TableRef, shape: TableShape, provider: str, location: str
 ) -> None:
     """Points the table at a version folder; metadata only.
 
-    With the same columns and format this is one catalog call, and readers never
-    miss the table.  Otherwise the table is declared anew, and there is a moment
-    without it; if that fails, the old one comes back, as an external table over its
-    files.  Either way the version just replaced stays for running readers, and the
-    one before it is deleted.
+    With the same columns and format, and without partitions, which the catalog holds one
+    by one, this is one catalog call, and readers never miss the table.  Otherwise the table is
+    declared anew, and there is a moment without it; if that fails, the old one comes
+    back, as an external table over its files.  Either way the version just replaced stays for
+    running readers, and the one before it is deleted.
     """
     name = table_name(spark, target)
     old = details(spark, target) if table_exists(spark, target) else None
-    if old is not None and _same_shape(spark, name, old, schema, provider):
+    if old is not None and _same_shape(spark, target, old, shape, provider):
         spark.sql(f"ALTER TABLE {name} SET LOCATION {text(location)}")
     elif old is None:
-        _declare(spark, target, schema, provider, location)
+        _declare(spark, target, shape, provider, location)
     else:
-        before = spark.table(name).schema
+        before = table_shape(spark, target)
         _forget(spark, target, old)
         try:
-            _declare(spark, target, schema, provider, location)
+            _declare(spark, target, shape, provider, location)
         except Exception:
             spark.sql(f"DROP TABLE IF EXISTS {name}")
             _restore(spark, target, old, before)
@@ -239,15 +321,19 @@ def _publish(
 
 
 def _declare(
-    spark: SparkSession, target: TableRef, schema: StructType, provider: str, location: str
+    spark: SparkSession, target: TableRef, shape: TableShape, provider: str, location: str
 ) -> None:
     """A table over a version folder: managed, unless files lie in its default folder."""
     name = table_name(spark, target)
-    if is_empty(spark, default_folder(spark, target)):
-        spark.catalog.createTable(name, source=provider, schema=schema)
+    managed = is_empty(spark, default_folder(spark, target))
+    spark.sql(
+        f"CREATE TABLE {name} ({shape.column_list()}) USING {provider}"
+        f"{'' if managed else _at(location)}{shape.clauses()}"
+    )
+    if managed:
         spark.sql(f"ALTER TABLE {name} SET LOCATION {text(location)}")
-    else:
-        spark.catalog.createTable(name, path=location, source=provider, schema=schema)
+    if shape.partition_by:
+        spark.sql(f"MSCK REPAIR TABLE {name}")
 
 
 def _forget(spark: SparkSession, target: TableRef, old: dict) -> None:
@@ -259,15 +345,14 @@ def _forget(spark: SparkSession, target: TableRef, old: dict) -> None:
     spark.sql(f"DROP TABLE {name}")
 
 
-def _restore(spark: SparkSession, target: TableRef, old: dict, schema: StructType) -> None:
-    parts = ", ".join(quote(c) for c in old.get("partition_columns") or [])
+def _restore(spark: SparkSession, target: TableRef, old: dict, shape: TableShape) -> None:
+    name = table_name(spark, target)
     spark.sql(
-        f"CREATE TABLE {table_name(spark, target)} ({optional(schema).toDDL()})"
-        f" USING {old['provider']}{f' PARTITIONED BY ({parts})' if parts else ''}"
-        f"{_at(old['location'])}"
+        f"CREATE TABLE {name} ({shape.column_list()}) USING {old['provider']}"
+        f"{_at(old['location'])}{shape.clauses()}"
     )
-    if parts:
-        spark.sql(f"MSCK REPAIR TABLE {table_name(spark, target)}")
+    if shape.partition_by:
+        spark.sql(f"MSCK REPAIR TABLE {name}")
     kept = old.get("table_properties", {}).get(PREVIOUS)
     if kept:
         set_table_properties(spark, target, {PREVIOUS: kept})
@@ -280,16 +365,22 @@ def _is_own_folder(spark: SparkSession, target: TableRef, old: dict) -> bool:
 
 
 def _same_shape(
-    spark: SparkSession, name: str, details: dict, schema: StructType, provider: str
+    spark: SparkSession, target: TableRef, old: dict, shape: TableShape, provider: str
 ) -> bool:
-    plain = not details.get("partition_columns") and not details.get("bucket_columns")
-    same_format = details.get("provider", "").lower() == provider.lower()
-    return plain and same_format and _shape(spark.table(name).schema) == _shape(schema)
+    if shape.partition_by or old.get("partition_columns") or old.get("bucket_columns"):
+        return False
+    if old.get("provider", "").lower() != provider.lower():
+        return False
+    before = table_shape(spark, target)
+    # Rows alone say nothing of comments and properties: those of the table stay.
+    if shape.properties is None:
+        return _shape(before.columns) == _shape(shape.columns)
+    return before.declares() == shape.declares()
 
 
 def _shape(schema: StructType) -> list[tuple[str, str]]:
-    """Column names and types; CHAR and VARCHAR, plain text to a frame, keep their length."""
-    return [(f.name, f.metadata.get(TEXT_LENGTH) or f.dataType.simpleString()) for f in schema]
+    """Column names and declared types."""
+    return [(field.name, type_text(field)) for field in schema]
 
 
 def _using(spark: SparkSession, ref: TableRef, provider: str | None) -> str:

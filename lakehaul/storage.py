@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+# What Spark takes for the size of a table that it does not know.
+UNKNOWN_BYTES = (1 << 63) - 1
 
 
 def _open(spark: SparkSession, folder: str):
@@ -48,6 +50,18 @@ def swap_in(spark: SparkSession, fresh: str, folder: str) -> None:
         files.delete(aside, True)
 
 
+def folder_bytes(spark: SparkSession, folder: str) -> int:
+    """Size of all files below a folder; 0 if it is missing."""
+    files, path = _open(spark, folder)
+    return files.getContentSummary(path).getLength() if files.exists(path) else 0
+
+
+def plan_bytes(df: DataFrame) -> int | None:
+    """Spark's estimate of the size of a frame, in bytes; ``None`` where it has none."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return size if size < UNKNOWN_BYTES else None
+
+
 def same_folder(spark: SparkSession, left: str, right: str) -> bool:
     """Compares two folders after adding the file system each one defaults to."""
     (left_files, left_path), (right_files, right_path) = _open(spark, left), _open(spark, right)
@@ -57,13 +71,9 @@ def same_folder(spark: SparkSession, left: str, right: str) -> bool:
 def fresh_folder(spark: SparkSession, base: str | None = None) -> str:
     """Name of a new folder that every executor can reach.
 
-    The base is the folder of ``spark.checkpoint.dir``.  Without that setting a
-    cluster uses its warehouse folder; only local mode takes a temporary one.
+    The base is the folder of ``spark.checkpoint.dir``, or where that is unset the
+    session's warehouse folder.
     """
     base = base or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if spark.sparkContext.master.startswith("local"):
-            base = tempfile.gettempdir()
-        else:
-            base = spark.conf.get("spark.sql.warehouse.dir")
+    base = base or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/lakehaul-{uuid.uuid4().hex}"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lakehaul.functions import insert_time
 from lakehaul.operators import (
     CountedWrite,
+    CountLost,
     empty_like,
     first_rows,
     optional,
@@ -69,10 +70,11 @@ def test_counted_write_counts_in_the_same_pass(given, tmp_path):
     assert counted.count() == 1500
 
 
-def test_counted_write_counts_itself_if_the_event_is_lost(given):
+def test_a_lost_count_is_an_error(given):
     counted = CountedWrite(given("orders"), patience=0.1)
     started = time.monotonic()
-    assert counted.count() == 1500
+    with pytest.raises(CountLost):
+        counted.count()
     assert time.monotonic() - started < 30
 
 

@@ -5,6 +5,7 @@ them; the SQL is recorded in the same way.
 """
 
 import pytest
+from pyspark.sql.types import StructType
 
 from lakehaul.catalog import create_database, drop_tables
 from lakehaul.names import TableRef
@@ -23,6 +24,8 @@ COUNT = "lakehaul.operators.counts.CountedWrite.count"
 
 
 class RecordingFrame:
+    schema = StructType()
+
     def __init__(self, session, rows: int):
         self.sparkSession, self.rows, self.calls = session, rows, session.calls
 
@@ -61,6 +64,9 @@ class RecordingSession:
     def tableExists(self, name):
         return False
 
+    def listColumns(self, name):
+        return []
+
     def sql(self, statement, args=None):
         self.calls.append(" ".join(statement.split()))
 
@@ -72,7 +78,7 @@ class RecordingSession:
 def session(spark, monkeypatch):
     spark.conf.set("spark.sql.catalog.lake", "some.Catalog")
     # What is recorded here is never run, so no count arrives with the write.
-    monkeypatch.setattr(COUNT, lambda self: self._df.count())
+    monkeypatch.setattr(COUNT, lambda self: self.rows.count())
     yield lambda rows_found: RecordingSession(spark, rows_found)
     spark.conf.unset("spark.sql.catalog.lake")
 

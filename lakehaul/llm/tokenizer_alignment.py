@@ -36,9 +36,9 @@ from pyspark.sql import functions as F
 from lakehaul.llm.shared import written
 
 #: Text of one part; a longer text is a part of its own.
-PART_BYTES = 8 << 20
+PART_BYTES = 3 << 20
 #: Words whose tokens a Python worker keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 #: Words encoded as one string.
 JOINED = 1024
 #: Bits of an id in a pair.

@@ -24,6 +24,7 @@ from lakehaul.plans import (
     keyed_load,
     migrate_databases,
 )
+from lakehaul.sinks import CONTENT, COUNT
 from lakehaul.sources import read_table
 
 
@@ -41,10 +42,13 @@ def parser() -> argparse.ArgumentParser:
     load = job("load", _load, "input_folder", "output_folder")
     load.add_argument("--table", help="also register the output under this name")
     load.add_argument("--schema", help="column list; without it types are inferred")
+    load.add_argument("--option", action="append", default=[], metavar="KEY=VALUE", help="of the CSV reader")
+    load.add_argument("--quarantine", action="store_true", help="set rows aside that do not fit")
     append = job("append", _append, "source_table", "target_table")
     append.add_argument("--provider")
     append.add_argument("--location")
-    keyed = job("keyed", _keyed, "source_table", "output_folder")
+    keyed = job("keyed", _keyed, "source_table")
+    keyed.add_argument("output_folder", nargs="?", help="without it --table gets a version of its own")
     keyed.add_argument("--keys", required=True, help="comma-separated record key")
     keyed.add_argument("--order-by", required=True)
     keyed.add_argument("--ties", help="comma-separated columns that settle equal --order-by values")
@@ -53,11 +57,16 @@ def parser() -> argparse.ArgumentParser:
     copy.add_argument("--append", action="store_true", help="append instead of replace")
     copy.add_argument("--location", help="folder of the appended copy")
     copy.add_argument("--provider")
+    copy.add_argument("--check", choices=[COUNT, CONTENT], default=COUNT, help="of a replaced copy")
+    copy.add_argument("--file-bytes", type=int, help="size of a replaced copy's files")
     migrate = job("migrate", _migrate, "databases", "source_catalog", "target_catalog")
     migrate.add_argument("--provider")
     migrate.add_argument("--parallelism", type=int, default=4)
+    migrate.add_argument("--ledger", help="folder of finished tables, to go on after a stop")
+    migrate.add_argument("--check", choices=[COUNT, CONTENT], default=COUNT)
     inventory = job("inventory", _inventory)
     inventory.add_argument("--catalog")
+    inventory.add_argument("--parallelism", type=int, default=4)
     clean = job("clean", _clean)
     clean.add_argument("--tables", default="", help="comma-separated tables to drop")
     clean.add_argument("--database", help="database to drop, as catalog.database or database")
@@ -74,13 +83,18 @@ def main(arguments: Sequence[str] | None = None) -> int:
 def _load(spark: SparkSession, given: argparse.Namespace) -> None:
     """CSV folder to Parquet folder, with the load time"""
     folders = (given.input_folder, given.output_folder)
+    options = dict(option.split("=", 1) for option in given.option)
+    options |= {"schema": given.schema, "quarantine": given.quarantine}
     if given.table:
-        loaded = csv_to_table(spark, *folders, TableRef.of(given.table), schema=given.schema)
+        loaded = csv_to_table(spark, *folders, TableRef.of(given.table), **options)
     else:
-        loaded = csv_to_parquet(spark, *folders, schema=given.schema)
+        loaded = csv_to_parquet(spark, *folders, **options)
     loaded.data.printSchema()
     loaded.data.show()
     print(f"rows: {loaded.rows}")
+    if loaded.quarantined is not None:
+        loaded.quarantined.show(truncate=False)
+        print(f"rows set aside: {loaded.bad_rows}")
 
 
 def _append(spark: SparkSession, given: argparse.Namespace) -> None:
@@ -109,7 +123,7 @@ def _copy(spark: SparkSession, given: argparse.Namespace) -> None:
     """one table copied and counted"""
     tables = (TableRef.of(given.source_table), TableRef.of(given.target_table))
     if not given.append:
-        print(copy_table(spark, *tables, given.provider))
+        print(copy_table(spark, *tables, given.provider, given.check, given.file_bytes))
         return
     copied = append_copy(spark, *tables, given.provider, given.location)
     print(f"rows appended: {copied.source_count}, rows in the copy: {copied.target_count}")
@@ -126,6 +140,8 @@ def _migrate(spark: SparkSession, given: argparse.Namespace) -> bool:
         given.target_catalog,
         given.provider,
         given.parallelism,
+        given.ledger,
+        given.check,
     )
     _show_all(done.report)
     _show_all(done.durations)
@@ -134,7 +150,7 @@ def _migrate(spark: SparkSession, given: argparse.Namespace) -> bool:
 
 def _inventory(spark: SparkSession, given: argparse.Namespace) -> None:
     """all tables of a catalog with their row counts"""
-    _show_all(catalog_inventory(spark, given.catalog))
+    _show_all(catalog_inventory(spark, given.catalog, parallelism=given.parallelism))
 
 
 def _show_all(report: DataFrame) -> None:

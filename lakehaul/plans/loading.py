@@ -7,6 +7,7 @@ from datetime import datetime
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lakehaul.catalog import create_database, register_view
@@ -15,21 +16,32 @@ from lakehaul.operators import optional, with_load_time
 from lakehaul.sinks import (
     append_table,
     create_table,
+    divided_folder,
     insert_values,
     register_folder,
     require_file_tables,
     require_reads,
+    write_divided,
     write_folder,
 )
-from lakehaul.sources import read_csv, read_folder, read_sql, read_table
+from lakehaul.sources import read_csv, read_csv_marked, read_folder, read_sql, read_table
+from lakehaul.sources.files import BAD_FILE, BAD_REASON, BAD_RECORD
 from lakehaul.storage import folder_exists
 
+# Partition column of an output with a quarantine.
+QUARANTINED = "quarantined"
+
 
 class Loaded(NamedTuple):
-    """Row count, and the output as a frame: its schema, a sample, further work."""
+    """Row count, and the output as a frame: its schema, a sample, further work.
+
+    A load with quarantine also tells how many rows it set aside, and which.
+    """
 
     rows: int
     data: DataFrame
+    bad_rows: int = 0
+    quarantined: DataFrame | None = None
 
 
 def csv_to_parquet(
@@ -39,15 +51,32 @@ def csv_to_parquet(
     load_time: datetime | None = None,
     column: str = "current_date",
     schema: StructType | str | None = None,
+    quarantine: bool = False,
     **csv_options,
 ) -> Loaded:
     """CSV folder → load time column → new Parquet folder.
 
     One pass over the input, which also counts it; one more before that if the
     types are to be inferred.  An output that exists is refused before either.
+
+    With ``quarantine``, which needs a ``schema``, rows that do not fit it do not fail the job.
+    The same pass writes the others to ``quarantined=false`` in the output folder and
+    these to ``quarantined=true``, with the record, its file and the reason; both are counted,
+    and together they are all rows of the input.
     """
     if folder_exists(spark, output_path):
         raise FileExistsError(f"output folder exists: {output_path}")
+    if quarantine:
+        if schema is None:
+            raise ValueError("a quarantine needs a schema")
+        marked = read_csv_marked(spark, input_path, schema, **csv_options)
+        stamped = with_load_time(marked, load_time, column)
+        told = [BAD_RECORD, BAD_FILE, BAD_REASON]
+        rows, bad_rows = write_divided(stamped, output_path, F.col(BAD_RECORD).isNotNull(), QUARANTINED)
+        good, bad = (divided_folder(output_path, QUARANTINED, flag) for flag in (False, True))
+        kept = StructType([field for field in stamped.schema if field.name not in told])
+        aside = StructType([stamped.schema[name] for name in (*told, column)])
+        return Loaded(rows, read_folder(spark, good, kept), bad_rows, read_folder(spark, bad, aside))
     stamped = with_load_time(read_csv(spark, input_path, schema, **csv_options), load_time, column)
     rows = write_folder(stamped, output_path)
     return Loaded(rows, read_folder(spark, output_path, stamped.schema))
@@ -63,17 +92,20 @@ def csv_to_table(
 ) -> Loaded:
     """``csv_to_parquet``, then the output folder as an external table.
 
-    The database is created if missing.  A table that exists stays as it is; if it
+    With ``quarantine`` the table holds the rows that fit.  The database is created if missing.  A table that exists stays as it is; if it
     reads another folder the load is refused before any pass.
     ``view`` also names a temporary view of the output.
     """
     require_file_tables(spark, target)
     create_database(spark, target.database, target.catalog)
-    require_reads(spark, target, output_path)
+    folder = output_path
+    if options.get("quarantine"):
+        folder = divided_folder(output_path, QUARANTINED, False)
+    require_reads(spark, target, folder)
     loaded = csv_to_parquet(spark, input_path, output_path, **options)
     if view:
         register_view(loaded.data, view)
-    register_folder(spark, target, output_path, loaded.data.schema)
+    register_folder(spark, target, folder, loaded.data.schema)
     return loaded
 
 

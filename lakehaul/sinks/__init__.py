@@ -1,6 +1,12 @@
 """Writers: Parquet folders, tables, keyed tables."""
 
-from lakehaul.sinks.files import replace_folder, write_folder
+from lakehaul.sinks.files import (
+    divided_folder,
+    replace_folder,
+    sized,
+    write_divided,
+    write_folder,
+)
 from lakehaul.sinks.keyed import keyed_replace, keyed_write
 from lakehaul.sinks.tables import (
     CONTENT,
@@ -23,6 +29,7 @@ __all__ = [
     "append_table",
     "clone_empty",
     "create_table",
+    "divided_folder",
     "insert_values",
     "keyed_replace",
     "keyed_write",
@@ -31,5 +38,7 @@ __all__ = [
     "replace_table",
     "require_file_tables",
     "require_reads",
+    "sized",
+    "write_divided",
     "write_folder",
 ]

@@ -4,13 +4,20 @@ import math
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakehaul.names import quote
-from lakehaul.operators.counts import CountedWrite, CountLost
+from lakehaul.operators.counts import WRITTEN, CountedWrite, CountLost
 from lakehaul.sources.files import read_folder
-from lakehaul.storage import delete_folder, folder_exists, is_empty, plan_bytes, swap_in
+from lakehaul.storage import (
+    delete_folder,
+    folder_exists,
+    is_empty,
+    make_folder,
+    plan_bytes,
+    swap_in,
+)
 
 
 def sized(
@@ -59,6 +66,31 @@ def write_folder(df: DataFrame, path: str, file_bytes: int | None = None, **opti
         return read_folder(spark, path, df.schema).count()
 
 
+def write_divided(df: DataFrame, path: str, condition: Column, name: str) -> tuple[int, int]:
+    """Writes a new Parquet folder with one folder for each outcome of ``condition`` in it.
+
+    Returns the rows for which it is false or null, and those for which it is true.  One pass
+    writes and counts both; each folder exists even if no row went there.
+    """
+    spark = df.sparkSession
+    flag = F.coalesce(condition, F.lit(False))
+    counted = CountedWrite(df.withColumn(name, flag), extra=[F.count_if(flag).alias("lakehaul_true")])
+    counted.rows.write.mode("errorifexists").partitionBy(name).parquet(path)
+    folders = [divided_folder(path, name, outcome) for outcome in (False, True)]
+    for folder in folders:
+        make_folder(spark, folder)
+    try:
+        measured = counted.measured()
+        return measured[WRITTEN] - measured["lakehaul_true"], measured["lakehaul_true"]
+    except CountLost:
+        return tuple(read_folder(spark, folder, df.schema).count() for folder in folders)
+
+
+def divided_folder(path: str, name: str, outcome: bool) -> str:
+    """Where ``write_divided`` puts the rows of one outcome."""
+    return f"{path.rstrip('/')}/{name}={str(outcome).lower()}"
+
+
 def replace_folder(df: DataFrame, path: str, **options) -> int:
     """Writes a Parquet folder over one that may exist; returns the rows written.
 

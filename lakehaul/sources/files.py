@@ -1,7 +1,17 @@
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+from lakehaul.names import quote
+
+# Columns that tell of a row that could not be read.
+BAD_RECORD, BAD_FILE, BAD_REASON = "bad_record", "bad_file", "bad_reason"
+# Marks a record with another number of fields than the schema.
+_ODD = "_odd_record"
+# What is set for a scan of files and means nothing for one record.
+_SCAN_ONLY = {"header", "enforceschema", "inferschema", "mode", "columnnameofcorruptrecord"}
 
 
 def read_csv(
@@ -26,6 +36,57 @@ def read_csv(
     return spark.read.options(**checked).schema(schema).csv(path)
 
 
+def read_csv_marked(
+    spark: SparkSession, path: str | list[str], schema: StructType | str, **options
+) -> DataFrame:
+    """A CSV folder in which rows that do not fit the schema are kept and marked.
+
+    Behind the columns of ``schema`` come ``bad_record`` (the record as it stands in the file),
+    ``bad_file`` and ``bad_reason``, all null for a row that fits.  A marked row has
+    another number of fields than the schema, or a value that does not fit its type; its other
+    values are what could be read.  Headers are checked as in ``read_csv``.  One scan.
+    """
+    columns = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    clash = {BAD_RECORD, BAD_FILE, BAD_REASON, _ODD}.intersection(f.name.lower() for f in columns)
+    if clash:
+        raise ValueError(f"columns of these names mark bad rows: {', '.join(sorted(clash))}")
+    marked = StructType([StructField(f.name, f.dataType) for f in columns] + [StructField(BAD_RECORD, StringType())])
+    fixed = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD_RECORD}
+    reader = spark.read.options(**{"header": True, "enforceSchema": False, **options, **fixed})
+    record = F.col(BAD_RECORD)
+    return reader.schema(marked).csv(path).select(
+        *map(quote, marked.names),
+        F.when(record.isNotNull(), F.col("_metadata.file_path")).alias(BAD_FILE),
+        F.when(record.isNotNull(), _reason(columns, options)).alias(BAD_REASON),
+    )
+
+
+def _reason(columns: StructType, options: dict) -> Column:
+    """Why a record does not fit: each field as text beside what was read of it."""
+    texts = StructType([StructField(f.name, StringType()) for f in columns] + [StructField(_ODD, StringType())])
+    given = {key: _option(value) for key, value in options.items() if key.lower() not in _SCAN_ONLY}
+    fields = F.from_csv(
+        F.col(BAD_RECORD), texts.toDDL(), {**given, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _ODD}
+    )
+    wrong = [
+        F.when(
+            fields.getField(f.name).isNotNull() & F.col(quote(f.name)).isNull(),
+            F.concat(F.lit(f"{f.name}: '"), fields.getField(f.name), F.lit(f"' is no {f.dataType.simpleString()}")),
+        )
+        for f in columns
+    ]
+    told = F.concat_ws("; ", *wrong)
+    return (
+        F.when(fields.getField(_ODD).isNotNull(), F.lit(f"not {len(columns)} fields"))
+        .when(told != "", told)
+        .otherwise(F.lit("cannot be read"))
+    )
+
+
+def _option(value: object) -> str:
+    return str(value).lower() if isinstance(value, bool) else str(value)
+
+
 def read_folder(
     spark: SparkSession,
     path: str,

@@ -26,6 +26,12 @@ def is_empty(spark: SparkSession, folder: str) -> bool:
     return not files.exists(path) or not files.listStatusIterator(path).hasNext()
 
 
+def make_folder(spark: SparkSession, folder: str) -> None:
+    """Creates the folder if it is missing."""
+    files, path = _open(spark, folder)
+    files.mkdirs(path)
+
+
 def delete_folder(spark: SparkSession, folder: str) -> None:
     files, path = _open(spark, folder)
     files.delete(path, True)

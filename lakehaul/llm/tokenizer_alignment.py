@@ -22,6 +22,7 @@ document, and the documents' pairs once; no group is larger than a part.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 from collections.abc import Callable, Iterator
 
@@ -160,6 +161,7 @@ class TwoTokenizers:
             [f"{at}{sign}" for n, signs in endings for at in range(n) for sign in signs], pa.large_string()
         )
         self.cache: dict[str, tuple[bytes, bytes] | None] = {}
+        self.older: dict[str, tuple[bytes, bytes] | None] = {}
 
     def _checked(self, text: str, a: list[int], b: list[int]) -> tuple[bytes, bytes] | None:
         """Both sides' ids; ``None`` unless both spell a space and the text."""
@@ -175,16 +177,17 @@ class TwoTokenizers:
     def _learn(self, words: list[str]) -> None:
         joined = " " + " ".join(words)
         a = self.a.encode_batch_fast([joined], add_special_tokens=False)[0].ids
-        begins = np.flatnonzero(self.opens[a])
+        a_ids = np.array(a, dtype="<i4")
+        begins = np.flatnonzero(self.opens[a_ids])
         split = self.b.encode(words, num_threads=1)
-        b = [i for ids in split for i in ids]
+        b = list(itertools.chain.from_iterable(split))
         want = joined.encode()
         spelt = b"".join([self.a_bytes[i] for i in a]) == want == b"".join([self.b_bytes[i] for i in b])
         if len(begins) != len(words) or not spelt:
             # Some word is not as expected: one by one.
             self.cache.update((w, self.whole(w)) for w in words)
             return
-        a_data, b_data = np.array(a, dtype="<i4").tobytes(), np.array(b, dtype="<i4").tobytes()
+        a_data, b_data = a_ids.tobytes(), np.array(b, dtype="<i4").tobytes()
         a_ends = [*(begins[1:] * 4).tolist(), len(a_data)]
         b_ends = (np.cumsum(np.fromiter(map(len, split), np.int64, len(split))) * 4).tolist()
         x = y = 0
@@ -195,8 +198,12 @@ class TwoTokenizers:
     def words(self, words: list[str]) -> list[tuple[bytes, bytes] | None]:
         """The ids of words without a space in them, from the cache where they are there."""
         missing = [w for w in words if w not in self.cache]
-        if len(self.cache) + len(missing) > CACHE_WORDS:
-            self.cache, missing = {}, words
+        if len(self.cache) + len(missing) > CACHE_WORDS // 2:
+            # Half full, it becomes the older half, of which words that come again are kept.
+            self.older, self.cache, missing = self.cache, {}, words
+        again = {w: self.older[w] for w in missing if w in self.older}
+        self.cache.update(again)
+        missing = [w for w in missing if w not in again]
         for at in range(0, len(missing), JOINED):
             self._learn(missing[at : at + JOINED])
         return [self.cache[w] for w in words]

@@ -7,7 +7,6 @@ the files for whoever reads the result.
 
 from __future__ import annotations
 
-import importlib.util
 import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
@@ -18,8 +17,10 @@ from pyspark.sql import functions as F
 from lakehaul.catalog import (
     create_database,
     describe_table,
+    described,
     drop_tables,
     list_tables,
+    partition_columns,
     set_current_database,
     set_table_properties,
     table_properties,
@@ -28,6 +29,7 @@ from lakehaul.functions import insert_time
 from lakehaul.names import PREFIXES, TableRef
 from lakehaul.operators import (
     check_counts,
+    compare_contents,
     first_rows,
     precombine,
     row_count,
@@ -47,9 +49,12 @@ from lakehaul.plans import (
     migrate_database,
     migrate_databases,
 )
+from lakehaul.plans.ledger import Ledger
 from lakehaul.sinks import (
+    CONTENT,
     append_table,
     clone_empty,
+    create_table,
     keyed_replace,
     register_folder,
     replace_table,
@@ -199,6 +204,46 @@ def temp_view_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
+def _orders_with_bad_customers(scratch: Scratch) -> str:
+    """Orders as CSV; the customer of every seventh is no number."""
+    path = f"{scratch.folder}/orders_csv"
+    customer = F.when(F.col("o_orderkey") % 7 == 0, F.concat(F.lit("c"), F.col("o_custkey")))
+    orders = scratch.given("orders")
+    spoiled = orders.withColumn("o_custkey", F.coalesce(customer, F.col("o_custkey").cast("string")))
+    spoiled.write.option("header", True).csv(path)
+    return path
+
+
+def csv_quarantine_good(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registered load whose bad rows are set aside; the rows that fit."""
+    scratch = Scratch(spark, sf_dir)
+    given, target = scratch.given("orders"), scratch.table("orders")
+    csv_to_table(
+        spark,
+        _orders_with_bad_customers(scratch),
+        f"{scratch.folder}/orders",
+        target,
+        schema=given.schema,
+        load_time=LOAD_TIME,
+        quarantine=True,
+    )
+    return stamped_like(read_table(spark, target), given)
+
+
+def csv_quarantine_bad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows set aside, with the counts of both kinds."""
+    scratch = Scratch(spark, sf_dir)
+    path, schema = _orders_with_bad_customers(scratch), scratch.given("orders").schema
+    loaded = csv_to_parquet(spark, path, f"{scratch.folder}/orders", schema=schema, quarantine=True)
+    return loaded.quarantined.select(
+        F.split("bad_record", ",")[0].cast("bigint").alias("o_orderkey"),
+        "bad_reason",
+        F.col("bad_file").endswith(".csv").alias("from_file"),
+        F.lit(loaded.rows).cast("bigint").alias("good_rows"),
+        F.lit(loaded.bad_rows).cast("bigint").alias("bad_rows"),
+    )
+
+
 # --- tables -------------------------------------------------------------------
 
 
@@ -418,6 +463,25 @@ def keyed_replace_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, target)
 
 
+def keyed_published_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A keyed load over an earlier one, published by the table's location alone."""
+    scratch = Scratch(spark, sf_dir)
+    events, target = scratch.given("events"), scratch.table("events_by_key")
+    keyed_load(events, None, EVENT_KEYS, "event_id", register_as=target)
+    return keyed_load(events, None, EVENT_KEYS, "ts", ["event_id"], target).data
+
+
+def precombine_any_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of one user and day that only a map tells apart."""
+    by_day = Scratch(spark, sf_dir).given("events").select(
+        "user_id",
+        F.to_date("ts").alias("day"),
+        F.create_map(F.coalesce("event_type", F.lit("")), "value").alias("what"),
+    )
+    latest = precombine(by_day, ["user_id"], "day")
+    return latest.select("user_id", "day", F.explode("what").alias("event_type", "value"))
+
+
 # --- copies and migration -----------------------------------------------------
 
 def copy_replace_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -476,6 +540,59 @@ def copy_replace_renamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, target)
 
 
+def copy_partitioned_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A partitioned table copied twice, its rows and the partition columns of the copy."""
+    scratch = Scratch(spark, sf_dir)
+    source, target = scratch.table("lineitem", catalog="source"), scratch.table("lineitem")
+    replace_table(scratch.given("lineitem"), source, partition_by=["l_returnflag", "l_linestatus"])
+    for _ in range(2):
+        copy_table(spark, source, target)
+    columns = ",".join(partition_columns(spark, target))
+    return read_table(spark, target).withColumn("partitioned_by", F.lit(columns))
+
+
+def copy_sized_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small files put together by a copy, partition by partition."""
+    scratch = Scratch(spark, sf_dir)
+    source, target = scratch.table("orders", catalog="source"), scratch.table("orders")
+    orders = scratch.given("orders").repartition(40)
+    replace_table(orders, source, partition_by=["o_orderstatus"])
+    copy_table(spark, source, target, file_bytes=64 << 20)
+    return read_table(spark, target)
+
+
+def copy_described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a copy declares: comments, defaults, text lengths and partitions, with its rows."""
+    scratch = Scratch(spark, sf_dir)
+    source, target = scratch.table("customer", catalog="source"), scratch.table("customer")
+    create_table(
+        spark,
+        source,
+        "c_custkey BIGINT COMMENT 'the key', c_name VARCHAR(40), c_acctbal DOUBLE DEFAULT 0.5D,"
+        " c_mktsegment STRING COMMENT 'of the market'",
+        partition_by=["c_mktsegment"],
+    )
+    append_table(scratch.given("customer").drop("c_nationkey"), source)
+    counts = copy_table(spark, source, target, check=CONTENT)
+    return described(spark, target).withColumn("n_rows", F.lit(counts.target_count).cast("bigint"))
+
+
+def content_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A copy, and one in which a single value differs, compared with their source."""
+    scratch = Scratch(spark, sf_dir)
+    source, given = scratch.register("documents", catalog="source"), scratch.given("documents")
+    copy, changed = scratch.table("documents"), scratch.table("documents_changed")
+    copy_table(spark, source, copy, check=CONTENT)
+    first = given.agg(F.min("doc_id")).first()[0]
+    one = F.when(F.col("doc_id") == first, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    replace_table(given.withColumn("n_chars", one), changed)
+    cases = [
+        compare_contents(spark, source, target).withColumn("copy", F.lit(name))
+        for name, target in (("same", copy), ("changed", changed))
+    ]
+    return cases[0].unionAll(cases[1])
+
+
 def count_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The count two tables share."""
     scratch = Scratch(spark, sf_dir)
@@ -533,11 +650,37 @@ def migrate_all_databases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def migration_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tables copied and failed per database."""
+    """Tables copied and failed per database, and the rows then found in its copies."""
+    scratch = Scratch(spark, sf_dir)
+    _two_databases(scratch)
+    source, target = scratch.catalog("source"), scratch.catalog("target")
+    summary = migrate_databases(spark, "*", source, target, parallelism=4).durations.drop("seconds")
+    counted = catalog_inventory(spark, target).groupBy("database")
+    return summary.join(counted.agg(F.sum("row_count").alias("rows_found")), "database")
+
+
+def migrated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a migrated table, every copy compared by content."""
     scratch = Scratch(spark, sf_dir)
     _two_databases(scratch)
     source, target = scratch.catalog("source"), scratch.catalog("target")
-    return migrate_databases(spark, "*", source, target, parallelism=4).durations.drop("seconds")
+    migrate_databases(spark, "*", source, target, check=CONTENT)
+    return read_table(spark, TableRef("texts", "documents", target))
+
+
+def migration_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A migration that had ended after one database, run again twice with its ledger.
+
+    Of the five tables the second run copies three, the third only the one that failed.
+    """
+    scratch = Scratch(spark, sf_dir)
+    _two_databases(scratch)
+    source, target = scratch.catalog("source"), scratch.catalog("target")
+    ledger = f"{scratch.folder}/ledger"
+    for selector in ("sales", "*", "*"):
+        report = migrate_databases(spark, selector, source, target, ledger=ledger).report
+    entries = Ledger(spark, ledger, source, target).entries().count()
+    return without_paths(report).withColumn("entries", F.lit(entries).cast("bigint"))
 
 
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -559,6 +702,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "csv_to_parquet_etl": csv_to_parquet_etl,
     "etl_registered_table": etl_registered_table,
     "temp_view_scan": temp_view_scan,
+    "csv_quarantine_good": csv_quarantine_good,
+    "csv_quarantine_bad": csv_quarantine_bad,
     "table_scan": table_scan,
     "sql_table_scan": sql_table_scan,
     "current_database_scan": current_database_scan,
@@ -580,17 +725,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "keyed_write_read": keyed_write_read,
     "keyed_registered_read": keyed_registered_read,
     "keyed_replace_read": keyed_replace_read,
+    "keyed_published_read": keyed_published_read,
+    "precombine_any_type": precombine_any_type,
     "copy_replace_verified": copy_replace_verified,
     "copy_replace_rows": copy_replace_rows,
     "copy_nested_rows": copy_nested_rows,
     "copy_append_renamed": copy_append_renamed,
     "copy_append_at_location": copy_append_at_location,
     "copy_replace_renamed": copy_replace_renamed,
+    "copy_partitioned_rows": copy_partitioned_rows,
+    "copy_sized_rows": copy_sized_rows,
+    "copy_described": copy_described,
+    "content_check": content_check,
     "count_check": count_check,
     "migrate_database": migrate_one_database,
     "migrate_databases": migrate_listed_databases,
     "migrate_all_databases": migrate_all_databases,
     "migration_summary": migration_summary,
+    "migrated_rows": migrated_rows,
+    "migration_resumed": migration_resumed,
     "catalog_inventory": inventory,
 }
 
@@ -602,14 +755,16 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def _llm() -> tuple[dict, dict]:
     """Queries and SQL of the optional subpackage; nothing where it was taken out."""
-    if importlib.util.find_spec("lakehaul.llm") is None:
+    try:
+        from lakehaul.llm.queries import QUERIES as llm_queries
+        from lakehaul.llm.queries import SQL as llm_sql
+    except ImportError:
         return {}, {}
-    from lakehaul.llm.queries import QUERIES as llm_queries
-    from lakehaul.llm.queries import SQL as llm_sql
-
-    if importlib.util.find_spec("corpus_pipeline") is not None:
+    try:
         import corpus_pipeline
-
+    except ImportError:
+        pass
+    else:
         llm_queries = {**llm_queries, "pipeline": corpus_pipeline.run}
         if corpus_pipeline.ORACLE_SQL:
             llm_sql = {**llm_sql, "pipeline": corpus_pipeline.ORACLE_SQL}
@@ -693,6 +848,13 @@ ORACLE: dict[str, str] = {
     "csv_to_parquet_etl": f"SELECT *, {STAMP} FROM orders",
     "etl_registered_table": f"SELECT *, {STAMP} FROM orders",
     "temp_view_scan": f"SELECT *, {STAMP} FROM lineitem",
+    "csv_quarantine_good": f"SELECT *, {STAMP} FROM orders WHERE o_orderkey % 7 <> 0",
+    "csv_quarantine_bad": """
+        SELECT o_orderkey, concat('o_custkey: ''c', o_custkey, ''' is no bigint') AS bad_reason,
+               true AS from_file,
+               (SELECT count(*) FROM orders WHERE o_orderkey % 7 <> 0) AS good_rows,
+               (SELECT count(*) FROM orders WHERE o_orderkey % 7 = 0) AS bad_rows
+        FROM orders WHERE o_orderkey % 7 = 0""",
     "table_scan": "SELECT * FROM events",
     "sql_table_scan": "SELECT * FROM lineitem",
     "current_database_scan": "SELECT * FROM conversations",
@@ -744,6 +906,13 @@ ORACLE: dict[str, str] = {
         QUALIFY row_number() OVER (
             PARTITION BY l_partkey, l_suppkey
             ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC) = 1""",
+    "keyed_published_read": LATEST_EVENTS,
+    "precombine_any_type": """
+        SELECT user_id, CAST(ts AS DATE) AS "day", coalesce(event_type, '') AS event_type, value
+        FROM events
+        QUALIFY row_number() OVER (
+            PARTITION BY user_id
+            ORDER BY CAST(ts AS DATE) DESC, coalesce(event_type, '') DESC, value DESC NULLS LAST) = 1""",
     "copy_replace_verified": """
         SELECT count(*) AS source_count, count(*) AS dest_count, true AS succeeded,
                count(*) AS rows_found
@@ -756,6 +925,26 @@ ORACLE: dict[str, str] = {
     "copy_append_renamed": "SELECT * FROM customer",
     "copy_append_at_location": "SELECT * FROM part UNION ALL SELECT * FROM part",
     "copy_replace_renamed": "SELECT * FROM pages",
+    "copy_partitioned_rows": """
+        SELECT *, 'l_returnflag,l_linestatus' AS partitioned_by FROM lineitem""",
+    "copy_sized_rows": "SELECT * FROM orders",
+    "copy_described": """
+        SELECT *, (SELECT count(*) FROM customer) AS n_rows
+        FROM (VALUES ('c_custkey', 'bigint', 'the key', NULL, false),
+                     ('c_name', 'varchar(40)', NULL, NULL, false),
+                     ('c_acctbal', 'double', NULL, '0.5D', false),
+                     ('c_mktsegment', 'string', 'of the market', NULL, true))
+             AS c(column_name, data_type, "comment", default_value, is_partition)""",
+    "content_check": _all(
+        [
+            f"""SELECT '{column}' AS column_name, count(*) - count({column}) AS source_nulls,
+                       count(*) - count({column}) AS target_nulls, {same} AS same_rows,
+                       '{copy}' AS copy
+                FROM documents"""
+            for copy, same in (("same", "true"), ("changed", "false"))
+            for column in ("doc_id", "text", "lang", "source", "n_chars")
+        ]
+    ),
     "count_check": "SELECT count(*) AS cnt, count(*) AS shared FROM documents",
     "migrate_database": _all(
         _each(COPIED, {"sales": ("customer", "lineitem", "nation", "orders", "supplier")})
@@ -783,7 +972,25 @@ ORACLE: dict[str, str] = {
             ('sales', 'completed', CAST(2 AS BIGINT), CAST(2 AS BIGINT), CAST(0 AS BIGINT)),
             ('texts', 'completed', 3, 2, 1),
             ('idle', 'completed', 0, 0, 0)
-        ) AS s("database", status, total_tables, successful, failed)""",
+        ) AS s("database", status, total_tables, successful, failed)
+        JOIN (SELECT 'sales' AS "database",
+                     (SELECT count(*) FROM events) + (SELECT count(*) FROM orders) AS rows_found
+              UNION ALL
+              SELECT 'texts', (SELECT count(*) FROM documents) + (SELECT count(*) FROM embeddings)
+              UNION ALL
+              SELECT 'idle', NULL) AS f USING ("database")""",
+    "migrated_rows": "SELECT * FROM documents",
+    "migration_resumed": "SELECT *, CAST(6 AS BIGINT) AS entries FROM ("
+    + _all(
+        [
+            *_each(COPIED, TWO_DATABASES),
+            NOT_COPIED,
+            NO_TABLE.format(
+                database="idle", status="completed", reason="CAST(NULL AS VARCHAR)"
+            ),
+        ]
+    )
+    + ")",
     "catalog_inventory": "SELECT *, row_count IS NULL AND \"table\" IS NOT NULL AS unreadable FROM ("
     + _all(
         [

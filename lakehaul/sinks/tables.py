@@ -13,6 +13,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping, Sequence
 from typing import NamedTuple
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +54,8 @@ from lakehaul.sources.tables import read_table
 from lakehaul.storage import delete_folder, is_empty, same_folder
 
 DEFAULT_PROVIDER = "parquet"
+# Folder name of the partition of null.
+NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 # How a copy is compared with its source.
 COUNT, CONTENT = "count", "content"
 
@@ -71,12 +74,14 @@ def create_table(
     provider: str | None = None,
     location: str | None = None,
     if_not_exists: bool = True,
+    partition_by: Sequence[str] = (),
 ) -> None:
     """An empty table with declared columns (a schema, or the text of the column list)."""
     columns = columns if isinstance(columns, str) else columns.toDDL()
+    parts = f" PARTITIONED BY ({', '.join(map(quote, partition_by))})" if partition_by else ""
     spark.sql(
         f"CREATE TABLE {'IF NOT EXISTS ' if if_not_exists else ''}{table_name(spark, ref)}"
-        f" ({columns}){_using(spark, ref, provider)}{_at(location)}"
+        f" ({columns}){_using(spark, ref, provider)}{parts}{_at(location)}"
     )
 
 
@@ -323,9 +328,10 @@ def _publish(
 def _declare(
     spark: SparkSession, target: TableRef, shape: TableShape, provider: str, location: str
 ) -> None:
-    """A table over a version folder: managed, unless files lie in its default folder."""
+    """A table over a version folder: managed, unless files lie in its default folder or it has
+    partitions, whose folders a managed table would delete when it is declared anew."""
     name = table_name(spark, target)
-    managed = is_empty(spark, default_folder(spark, target))
+    managed = not shape.partition_by and is_empty(spark, default_folder(spark, target))
     spark.sql(
         f"CREATE TABLE {name} ({shape.column_list()}) USING {provider}"
         f"{'' if managed else _at(location)}{shape.clauses()}"
@@ -337,14 +343,28 @@ def _declare(
 
 
 def _forget(spark: SparkSession, target: TableRef, old: dict) -> None:
-    """Drops a table and leaves its files: a managed one first reads an empty folder."""
+    """Drops a table and leaves its files: a managed one and each of its partitions first read
+    an empty folder."""
     name = table_name(spark, target)
     if old["type"] == "MANAGED":
         nowhere = f"{versions_folder(spark, target)}/{uuid.uuid4().hex}"
         spark.sql(f"ALTER TABLE {name} SET LOCATION {text(nowhere)}")
+        if old.get("partition_columns"):
+            for row in spark.sql(f"SHOW PARTITIONS {name}").toLocalIterator():
+                spec = _partition_spec(row["partition"])
+                spark.sql(f"ALTER TABLE {name} PARTITION ({spec}) SET LOCATION {text(nowhere)}")
     spark.sql(f"DROP TABLE {name}")
 
 
+def _partition_spec(folder: str) -> str:
+    """``a=1/b=x%2Fy`` as the values of a PARTITION clause."""
+    pairs = [part.split("=", 1) for part in folder.split("/")]
+    return ", ".join(
+        f"{quote(unquote(key))} = {'null' if value == NULL_PARTITION else text(unquote(value))}"
+        for key, value in pairs
+    )
+
+
 def _restore(spark: SparkSession, target: TableRef, old: dict, shape: TableShape) -> None:
     name = table_name(spark, target)
     spark.sql(

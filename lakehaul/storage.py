@@ -64,7 +64,7 @@ def folder_bytes(spark: SparkSession, folder: str) -> int:
 
 def plan_bytes(df: DataFrame) -> int | None:
     """Spark's estimate of the size of a frame, in bytes; ``None`` where it has none."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return size if size < UNKNOWN_BYTES else None
 
 

@@ -82,6 +82,7 @@ def largest_first(
             spark.sparkContext.setLocalProperty(POOL, before)
 
     with ThreadPoolExecutor(max(1, parallelism)) as pool:
-        target = inheritable_thread_target(spark)(run)
-        for done in [pool.submit(target, number) for number in range(max(1, parallelism))]:
+        # Each thread gets properties of its own: one target would share them.
+        targets = [inheritable_thread_target(spark)(run) for _ in range(max(1, parallelism))]
+        for done in [pool.submit(target, number) for number, target in enumerate(targets)]:
             done.result()

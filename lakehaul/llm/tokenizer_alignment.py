@@ -38,8 +38,10 @@ from lakehaul.llm.shared import written
 
 #: Text of one part; a longer text is a part of its own.
 PART_BYTES = 3 << 20
+#: Texts of one part, at most: so a text, an A id and a B id fit in 63 bits up to 24 bits an id.
+PART_ROWS = 32_000
 #: Words whose tokens a Python worker keeps.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
 #: Words encoded as one string.
 JOINED = 1024
 #: Bits of an id in a pair.
@@ -65,26 +67,27 @@ def irregular_groups(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int,
     ``a`` and ``b`` are ascending end offsets of the same bytes.
     """
     a, b = np.ascontiguousarray(a, dtype=np.int64), np.ascontiguousarray(b, dtype=np.int64)
-    # Compared as bytes, listed for single steps.
-    a_bytes, b_bytes, a_ends, b_ends = a.tobytes(), b.tobytes(), a.tolist(), b.tolist()
+    # Stretches are compared as bytes, single ends as numbers; the last ones never agree.
+    a_bytes, b_bytes = a.tobytes(), b.tobytes()
+    a_ends, b_ends = [*a.tolist(), -1], [*b.tolist(), -2]
+    n_a, n_b = len(a), len(b)
     found = []
     i = j = 0
-    n_a, n_b = len(a_ends), len(b_ends)
-    while i < n_a and j < n_b:
-        # The next groups are often irregular too.
-        step, growing = int(a_ends[i] == b_ends[j]), True
-        while step:
-            i_to, j_to = i + step, j + step
-            if i_to <= n_a and j_to <= n_b and a_bytes[8 * i : 8 * i_to] == b_bytes[8 * j : 8 * j_to]:
-                i, j = i_to, j_to
-                step = step * 2 if growing else step // 2
-            else:
-                growing = False
-                step //= 2
-        if i >= n_a or j >= n_b:
-            break
-        i_from, j_from = i, j
+    while True:
         x, y = a_ends[i], b_ends[j]
+        if x == y:
+            i, j, step, growing = i + 1, j + 1, 2, True
+            while step:
+                same = a_bytes[8 * i : 8 * (i + step)] == b_bytes[8 * j : 8 * (j + step)]
+                if same and i + step <= n_a and j + step <= n_b:
+                    i, j = i + step, j + step
+                else:
+                    growing = False
+                step = 2 * step if growing else step >> 1
+            x, y = a_ends[i], b_ends[j]
+        if i == n_a or j == n_b:
+            return found
+        i_from, j_from = i, j
         while x != y:
             if x < y:
                 i += 1
@@ -94,7 +97,6 @@ def irregular_groups(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int,
                 y = b_ends[j]
         i, j = i + 1, j + 1
         found.append((i_from, i, j_from, j))
-    return found
 
 
 def inside(irregular: list, first: int, n: int) -> np.ndarray:
@@ -115,7 +117,8 @@ def overlaps(a: np.ndarray, b: np.ndarray, irregular: list) -> tuple[np.ndarray,
     neighbouring ends, of whichever side, is one.
     """
     in_a, in_b = inside(irregular, 0, len(a)), inside(irregular, 2, len(b))
-    ends = np.union1d(a[in_a], b[in_b])
+    ends = np.sort(np.concatenate([a[in_a], b[in_b]]))
+    ends = ends[np.diff(ends, prepend=-1) > 0]
     one = np.concatenate([np.flatnonzero(~in_a), np.searchsorted(a, ends)])
     two = np.concatenate([np.flatnonzero(~in_b), np.searchsorted(b, ends)])
     return one, two
@@ -160,17 +163,18 @@ class TwoTokenizers:
         self.decimals = pa.array(
             [f"{at}{sign}" for n, signs in endings for at in range(n) for sign in signs], pa.large_string()
         )
-        self.cache: dict[str, tuple[bytes, bytes] | None] = {}
-        self.older: dict[str, tuple[bytes, bytes] | None] = {}
+        # A word's ids as one string of 32-bit numbers: how many of A, those, those of B.
+        self.cache: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
 
-    def _checked(self, text: str, a: list[int], b: list[int]) -> tuple[bytes, bytes] | None:
+    def _checked(self, text: str, a: list[int], b: list[int]) -> bytes | None:
         """Both sides' ids; ``None`` unless both spell a space and the text."""
         want = b" " + text.encode()
         if b"".join([self.a_bytes[i] for i in a]) != want or b"".join([self.b_bytes[i] for i in b]) != want:
             return None
-        return np.array(a, dtype="<i4").tobytes(), np.array(b, dtype="<i4").tobytes()
+        return np.array([len(a), *a, *b], dtype="<i4").tobytes()
 
-    def whole(self, text: str) -> tuple[bytes, bytes] | None:
+    def whole(self, text: str) -> bytes | None:
         a = self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids
         return self._checked(text, a, self.b.encode(text))
 
@@ -188,14 +192,15 @@ class TwoTokenizers:
             self.cache.update((w, self.whole(w)) for w in words)
             return
         a_data, b_data = a_ids.tobytes(), np.array(b, dtype="<i4").tobytes()
-        a_ends = [*(begins[1:] * 4).tolist(), len(a_data)]
+        a_ends = np.append(begins[1:], len(a_ids))
+        heads = np.diff(a_ends, prepend=0).astype("<i4").tobytes()
         b_ends = (np.cumsum(np.fromiter(map(len, split), np.int64, len(split))) * 4).tolist()
-        x = y = 0
-        for word, x_to, y_to in zip(words, a_ends, b_ends, strict=True):
-            self.cache[word] = a_data[x:x_to], b_data[y:y_to]
-            x, y = x_to, y_to
+        x = y = at = 0
+        for word, x_to, y_to in zip(words, (a_ends * 4).tolist(), b_ends, strict=True):
+            self.cache[word] = heads[at : at + 4] + a_data[x:x_to] + b_data[y:y_to]
+            x, y, at = x_to, y_to, at + 4
 
-    def words(self, words: list[str]) -> list[tuple[bytes, bytes] | None]:
+    def words(self, words: list[str]) -> list[bytes | None]:
         """The ids of words without a space in them, from the cache where they are there."""
         missing = [w for w in words if w not in self.cache]
         if len(self.cache) + len(missing) > CACHE_WORDS // 2:
@@ -211,7 +216,7 @@ class TwoTokenizers:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of A and of B, end to end, and their numbers per text; none for a text that
         is empty or that either side does not spell."""
-        found: list[tuple[bytes, bytes] | None] = [None] * len(texts)
+        found: list[bytes | None] = [None] * len(texts)
         odd = pc.match_substring_regex(pa.array(texts, pa.large_string()), _BREAKS).to_pylist()
         plain = [at for at, t in enumerate(texts) if t and self.by_words and not odd[at]]
         for at in {*range(len(texts))}.difference(plain):
@@ -226,15 +231,18 @@ class TwoTokenizers:
         # One bad word makes its text one without tokens.
         bad = np.unique(of_text[~good[number]]) if len(number) else np.empty(0, dtype=np.int64)
         kept = ~np.isin(of_text, bad)
+        pool = np.frombuffer(b"".join([k for k in known if k is not None]), dtype="<i4")
+        sizes = np.fromiter((len(k) // 4 if k is not None else 0 for k in known), np.int64, len(known))
+        starts = np.cumsum(sizes) - sizes
+        of_a = np.zeros(len(known), dtype=np.int64)
+        of_a[good] = pool[starts[good]]
+        of_b = np.where(good, sizes - 1 - of_a, 0)
+        chosen, owner = number[kept], of_text[kept]
         sides = []
-        for side in (0, 1):
-            ids = [k[side] if k is not None else b"" for k in known]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-            pool = np.frombuffer(b"".join(ids), dtype="<i4")
-            chosen = number[kept]
+        for side, (begin, sizes) in enumerate(((starts + 1, of_a), (starts + 1 + of_a, of_b))):
             each = sizes[chosen]
-            total = np.bincount(of_text[kept], each, minlength=len(plain)).astype(np.int64)
-            first = (np.cumsum(sizes) - sizes)[chosen] - (np.cumsum(each) - each)
+            total = np.bincount(owner, each, minlength=len(plain)).astype(np.int64)
+            first = begin[chosen] - (np.cumsum(each) - each)
             places = np.repeat(first, each) + np.arange(int(each.sum()))
             sides.append(self._in_order(texts, plain, total, pool[places], found, side))
         (a, n_a), (b, n_b) = sides
@@ -248,7 +256,10 @@ class TwoTokenizers:
         whole = [at for at, f in enumerate(found) if f is not None]
         if not whole:
             return ids.astype(np.int64), lengths
-        others = {at: np.frombuffer(found[at][side], dtype="<i4") for at in whole}
+        others = {}
+        for at in whole:
+            entry = np.frombuffer(found[at], dtype="<i4")
+            others[at] = entry[1 + entry[0] :] if side else entry[1 : 1 + entry[0]]
         for at, part in others.items():
             lengths[at] = len(part)
         out = np.empty(int(lengths.sum()), dtype=np.int64)
@@ -325,18 +336,19 @@ def align_part(both: TwoTokenizers, part: int, ids: list, texts: list[str]) -> d
         hashlib.sha256(data[x:y]).hexdigest() if y > x else "" for x, y in zip(edges, edges[1:])
     ]
     one, two = overlaps(ends_a, ends_b, irregular)
-    pair = (a[one] << ID_BITS) | b[two]
     doc = np.repeat(np.arange(len(texts)), n_a)[one]
-    # Distinct pairs of each document: order by document, then pair.
-    order = np.lexsort((pair, doc))
-    pair, doc = pair[order], doc[order]
-    new = np.ones(len(pair), dtype=bool)
-    new[1:] = (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1])
-    starts = np.flatnonzero(new)
-    times = np.diff(np.append(starts, len(pair)))
-    pair, doc = pair[starts], doc[starts]
+    # Distinct pairs of each document: one sort by document and pair.
+    a_bits, b_bits = (len(x).bit_length() for x in (both.a_bytes, both.b_bytes))
+    keys = np.sort(((doc << a_bits | a[one]) << b_bits) | b[two])
+    starts = np.flatnonzero(np.diff(keys, prepend=-1))
+    times = np.diff(np.append(starts, len(keys)))
+    keys = keys[starts]
+    doc = keys >> (a_bits + b_bits)
+    pair = (keys >> b_bits & ((1 << a_bits) - 1)) << ID_BITS | keys & ((1 << b_bits) - 1)
     edges = np.searchsorted(doc, np.arange(len(texts) + 1))
-    of_part, documents = np.unique(pair, return_counts=True)
+    held = np.sort(pair)
+    firsts = np.flatnonzero(np.diff(held, prepend=-1))
+    of_part, documents = held[firsts], np.diff(np.append(firsts, len(held)))
     n = len(texts)
     return {
         "part": [part] * (n + 1),
@@ -372,7 +384,7 @@ def align_batches(byte_path: str, piece_path: str, part_bytes: int) -> Callable:
 
         for batch in batches:
             for at, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if texts and size + len(text) > part_bytes:
+                if texts and (size + len(text) > part_bytes or len(texts) == PART_ROWS):
                     yield flush()
                     number, ids, texts, size = number + 1, [], [], 0
                 ids.append(at)

@@ -123,7 +123,8 @@ def reachable(pivots: np.ndarray, radii: np.ndarray) -> Callable:
             yield pd.DataFrame(
                 {
                     "query_id": rows["query_id"].to_numpy()[row],
-                    "vector": [rows["vector"].iloc[i] for i in row],
+                    # A batch may reach no other cell; without a type it would be one of floats.
+                    "vector": pd.Series([rows["vector"].iloc[i] for i in row], dtype=object),
                     "cell": cell.astype(np.int32),
                 }
             )
@@ -167,7 +168,8 @@ def voronoi_knn(
     ``vec_id`` and ``score``; ties go to the smaller id.  ``is_query`` is a condition on
     the rows.  Rows take no part if their id or vector is null or a component is null, infinite or NaN.
     Vectors of different lengths are compared as if filled up with zeros; rows with one
-    id are candidates each but never for a query of that id.  Scores beyond the range of
+    id are candidates each but never for a query of that id; of several queries with one id the
+    smallest vector is asked.  Scores beyond the range of
     longs are its ends.  Other columns are not looked at.  Fewer than k candidates give
     fewer rows, an empty table none.
     """
@@ -203,8 +205,9 @@ def voronoi_knn(
     data = celled.select("vec_id", "vector", "cell")
     asked = written(
         celled.where("is_query")
-        .select(F.col("vec_id").alias("query_id"), "vector", "cell")
-        .dropDuplicates(["query_id"]),
+        .groupBy(F.col("vec_id").alias("query_id"))
+        .agg(F.min(F.struct("vector", "cell")).alias("q"))
+        .select("query_id", "q.*"),
         "queries",
     )
     near = written(solve(asked, data, sizes, k, queries), "near")

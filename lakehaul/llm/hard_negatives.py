@@ -195,6 +195,8 @@ class Rows:
 
     def search(self, asked: DataFrame, k: int, same: bool) -> DataFrame:
         """``asked`` has ``anchor_id``, ``label``, ``vector``, ``norm`` and ``windows``."""
+        if not self.classes:
+            return self.rows.sparkSession.createDataFrame([], FOUND)
         classes = F.array(
             *[
                 F.struct(F.lit(c).alias("class"), F.lit(norm).alias("norm"), F.lit(blocks).alias("blocks"))
@@ -325,7 +327,8 @@ def hard_negatives(
     def share_of_most(level: float | None) -> Column:
         if level is None:
             return F.lit(LONGS.min)
-        return (F.col("norm") * searched.largest * level).cast("bigint")
+        # No higher than a long: a lower threshold is right as well.
+        return F.least(F.col("norm") * searched.largest * level, F.lit(9e18)).cast("bigint")
 
     everything = asked.select(
         "*", F.lit(0).alias("slot"), F.lit(LONGS.min).alias("low"), F.lit(LONGS.max).alias("high")
@@ -337,12 +340,14 @@ def hard_negatives(
         "positives",
     )
     # 50 p <= 100 n <= 95 p, without products that could overflow.
-    low = F.expr("(positive_score + pmod(positive_score, 2)) div 2")
-    high = F.expr(
-        "(positive_score - pmod(positive_score, 20)) div 20 * 19 + (19 * pmod(positive_score, 20)) div 20"
-    )
+    # Below 0 there is no such n.
+    low = F.expr("positive_score div 2 + positive_score % 2")
+    high = F.expr("positive_score div 20 * 19 + 19 * (positive_score % 20) div 20")
     below = (
-        best.select("anchor_id", "slot", low.alias("low"), high.alias("high"))
+        best.select(
+            "anchor_id", "slot", F.when(F.col("positive_score") >= 0, F.struct(low.alias("low"), high.alias("high"))).alias("w")
+        )
+        .select("anchor_id", "slot", "w.low", "w.high")
         .where("low <= high")
         .join(asked, "anchor_id")
     )

@@ -26,8 +26,8 @@ from lakehaul.llm.tokens import encoder
 
 #: Bytes of a row group and of a page, and rows of a page, at most.
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 8 << 20, 256 << 10, 2_000
-#: Files whose totals, a name and a number each, may be broadcast.
-BROADCAST_FILES = 20_000
+#: Signs of a text by which rows of one id are divided among files.
+RANGE_SIGNS = 64
 #: Bytes of texts encoded together, about; a longer text is encoded alone.
 TOGETHER = 4 << 20
 
@@ -78,7 +78,8 @@ def write_token_files(
 ) -> None:
     """Encodes every whole text, appends ``end`` and writes the ids to a folder of files.
 
-    The files' order, by name, is the order of ids; so is the order of rows in them.
+    The files' order, by the number in their names, is the order of ids; so is the order of rows
+    in them.
     A null text is empty and has only ``end``.  Rows without an id come first.  Rows of
     one id are kept, and ordered by their texts.  Other columns are not written.  An
     empty table gives a folder with a schema and no rows.
@@ -88,12 +89,14 @@ def write_token_files(
             F.col(id_col).cast("bigint").alias("doc_id"),
             F.coalesce(F.col(text_col), F.lit("")).alias("text"),
         )
-        .repartitionByRange("doc_id")
+        # Rows without an id, or of one id, are divided by how their texts begin.
+        .repartitionByRange("doc_id", F.substring("text", 1, RANGE_SIGNS))
         .sortWithinPartitions("doc_id", "text")
     )
     (
         ordered.mapInArrow(encode_rows(tokenizer, by_space, end), IDS)
-        .write.option("parquet.block.size", ROW_GROUP_BYTES)
+        .write.option("maxRecordsPerFile", 0)  # A file per task: running sums are a task's.
+        .option("parquet.block.size", ROW_GROUP_BYTES)
         .option("parquet.page.size", PAGE_BYTES)
         .option("parquet.page.row.count.limit", PAGE_ROWS)
         .option("parquet.writer.version", "PARQUET_2_0")
@@ -113,12 +116,11 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """
     rows = spark.read.schema(IDS).parquet(path).withColumn("file", F.col("_metadata.file_name"))
     totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"))
-    files = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    number = F.regexp_extract("file", r"^part-(\d+)", 1).cast("bigint")
+    files = Window.orderBy(number).rowsBetween(Window.unboundedPreceding, -1)
     ahead = totals.select(
         F.col("file").alias("of"), F.coalesce(F.sum("total").over(files), F.lit(0)).alias("ahead")
     )
-    if len(rows.inputFiles()) <= BROADCAST_FILES:
-        ahead = F.broadcast(ahead)
     return rows.join(ahead, F.col("file") == F.col("of")).select(
         "doc_id", (F.col("ahead") + F.col("within")).alias("start"), "n_tokens", "ids"
     )

@@ -21,9 +21,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakehaul.llm import anchors
 from lakehaul.llm.shared import written
 from lakehaul.llm.tokens import encoder
 
@@ -33,7 +35,8 @@ SHARD_PIECES = 20_000
 SOLUTIONS, GENERATIONS, MIGRATE = 3, 6, 3
 #: Bins filled to this share stay when the rest migrates.
 NEARLY_FULL = 0.995
-TOGETHER = 256
+#: Bytes of texts encoded together, about; a longer text is encoded alone.
+TOGETHER = 16 << 20
 
 PIECES = "id bigint, row_check bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PACKED = PIECES + ", sequence_id bigint, offset bigint, settled boolean"
@@ -200,21 +203,23 @@ def best_fit_packing(pieces: DataFrame, room: int = 1024, shard_pieces: int = SH
 
 
 def cut_rows(path: str, end: int, room: int) -> Callable:
-    closing = end.to_bytes(4, "little")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(path, True)
         for batch in batches:
-            for at in range(0, batch.num_rows, TOGETHER):
-                part = batch.slice(at, TOGETHER)
+            sizes = pc.binary_length(batch.column("text")).to_numpy()
+            for together in anchors.batches(sizes, TOGETHER):
+                part = batch.slice(together.start, together.stop - together.start)
+                ids, lengths = tokens.encode_spaced(part.column("text"))
+                ends = np.cumsum(lengths)
+                data = np.insert(ids, ends, end).astype("<u4").tobytes()
                 rows: list[tuple] = []
-                texts = part.column("text").to_pylist()
-                for row, ids in enumerate(tokens.encode(texts)):
-                    data = ids + closing
-                    n = len(data) // 4
+                first = 0
+                for row, n in enumerate((lengths + 1).tolist()):
                     cuts = [0, *range(n % room or room, n + 1, room)]
                     for piece, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                        rows.append((row, piece, a, b - a, zlib.crc32(data[4 * a : 4 * b])))
+                        crc = zlib.crc32(data[4 * (first + a) : 4 * (first + b)])
+                        rows.append((row, piece, a, b - a, crc))
+                    first += n
                 row, piece, start, length, crc = map(list, zip(*rows, strict=True)) if rows else ([],) * 5
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -5,12 +5,13 @@ encoded once.
 
 * The byte tokenizer divides a text at a single space between two characters that are
   no white space, and gives the space to what follows.  Texts with white space next to
-  a space are encoded whole.
+  white space are encoded whole.
 * The word tokenizer drops all white space, ignores case and takes letters, digits and
   runs of other characters one by one.  Its parts lie between ASCII white space, other
   white space stays inside a part; ASCII signs that end a part behind a letter or
-  digit are a part of their own.  Arrow splits the texts and numbers their distinct
-  parts, and the ids are put together by number.
+  digit are a part of their own.
+
+Arrow splits the texts and numbers their distinct parts, and the ids are put together by number.
 
 The cache is bounded: half full, it becomes the older half, of which only chunks that come
 again are kept.
@@ -19,7 +20,6 @@ again are kept.
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Callable
 
 import numpy as np
@@ -28,10 +28,13 @@ import pyarrow.compute as pc
 
 #: Chunks kept by one Python worker.
 CACHE_CHUNKS = 600_000
+#: First chunks of texts kept by it.
+CACHE_FIRSTS = 50_000
 #: Chunks encoded in one string.
 JOINED = 2048
 
-_SPACES = re.compile(r"\s\s")
+#: White space next to white space, for Arrow's regular expressions.
+_SPACES = r"[\t-\r\x1c-\x20\x{85}\p{Z}]{2}"
 #: Signs that are a part of their own, for Arrow's regular expressions.
 #: Not "]" and ">", which may end a special token.
 _STOPS, _APART = r"([\pL\pN])([!-/:-=?@\[\\^-`{-~]+)(\s|$)", r"\1 \2\3"
@@ -46,15 +49,25 @@ class Encoder:
     def __init__(self, path: str, joined_by_space: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.by_space = joined_by_space
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.firsts: dict[str, bytes] = {}
         if joined_by_space:
             vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
             self.opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
             self.opens[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
+            # Chunks are distinct, so the library's own cache only costs.
+            self.tokenizer.model._resize_cache(0)
+            self.space = self.whole(" ")
+            # Letters a to z stand for their bytes and are no place to divide at, so words of
+            # them need no division but at the spaces between.
+            self.letters = Tokenizer.from_file(path)
+            self.letters.pre_tokenizer = WhitespaceSplit()
+            self.letters.model._resize_cache(0)
         else:
             (self.mark,) = self._encode(["\x01"])[0]
             vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -69,7 +82,10 @@ class Encoder:
 
     def _learn(self, chunks: list[str]) -> dict[str, bytes]:
         if self.by_space:
-            return self._learn_by(chunks, self._by_opening)
+            plain, others = [], []
+            for c in chunks:
+                (plain if c.isascii() and c.isalpha() else others).append(c)
+            return self._learn_by(plain, self._by_letters) | self._learn_by(others, self._by_opening)
         letters = [c for c in chunks if c.isalpha()]
         others = [c for c in chunks if not c.isalpha()]
         return self._learn_by(letters, self._by_closing) | self._learn_by(others, self._by_mark)
@@ -79,6 +95,12 @@ class Encoder:
         begins = np.flatnonzero(self.opens[ids])
         return ids, begins, np.append(begins[1:], len(ids))
 
+    def _by_letters(self, part: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        text = "Ġ" + " Ġ".join(part)
+        ids = np.array(self.letters.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+        begins = np.flatnonzero(self.opens[ids])
+        return ids, begins, np.append(begins[1:], len(ids))
+
     def _by_closing(self, part: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Words of letters: each ends with an id that ends a word."""
         ids = np.array(self._encode([" ".join(part)])[0], dtype="<u4")
@@ -116,9 +138,8 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if self.by_space:
-            return self._encode_spaced(texts)
-        ids, lengths = self.encode_words(pa.array(texts, pa.string()))
+        how = self.encode_spaced if self.by_space else self.encode_words
+        ids, lengths = how(pa.array(texts, pa.large_string()))
         data, ends = ids.tobytes(), np.cumsum(lengths) * 4
         return [data[b - 4 * n : b] for n, b in zip(lengths.tolist(), ends.tolist(), strict=True)]
 
@@ -131,34 +152,56 @@ class Encoder:
         chunks = numbered.dictionary.to_pylist()
         known = self._recall([c for c in chunks if c])
         found = [known[c] if c else b"" for c in chunks]
-        ids = np.frombuffer(b"".join(found), dtype="<u4")
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        number = numbered.indices.to_numpy()
-        each = sizes[number]
-        ends = np.concatenate([[0], np.cumsum(each)])
-        first = (np.cumsum(sizes) - sizes)[number] - ends[:-1]
-        places = np.repeat(first, each)
-        places += np.arange(len(places))
+        ids, ends = _joined(found, numbered.indices.to_numpy())
         bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(parts).to_numpy())])
-        return ids[places], np.diff(ends[bounds])
-
-    def _encode_spaced(self, texts: list[str]) -> list[bytes]:
-        split = [None if _SPACES.search(text) else text.split(" ") for text in texts]
-        wanted: set[str] = set()
-        for chunks in split:
-            if chunks is not None:
-                wanted.update(chunks[1:])
-        wanted.discard("")
-        known = self._recall(list(wanted))
-        space = self.whole(" ")
-        out = []
-        for text, chunks in zip(texts, split, strict=True):
-            if chunks is None:
-                out.append(self.whole(text))
-            else:
-                rest = [known[c] if c else space for c in chunks[1:]]
-                out.append(b"".join([self.whole(chunks[0]) if chunks[0] else b"", *rest]))
-        return out
+        return ids, np.diff(ends[bounds])
+
+    def encode_spaced(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same by the byte tokenizer: chunks lie between single spaces, and all but the
+        first of a text have one before them."""
+        odd = pc.match_substring_regex(texts, _SPACES).to_numpy(zero_copy_only=False)
+        parts = pc.split_pattern(texts.filter(pa.array(~odd)) if odd.any() else texts, " ")
+        counts = pc.list_value_length(parts).to_numpy()
+        flat = pc.list_flatten(parts)
+        leads = np.cumsum(counts) - counts
+        others, firsts = flat.dictionary_encode(), flat.take(pa.array(leads)).dictionary_encode()
+        words = others.dictionary.to_pylist()
+        known = self._recall([c for c in words if c])
+        found = [known[c] if c else self.space for c in words] + self._first(firsts.dictionary.to_pylist())
+        number = others.indices.to_numpy().astype(np.int64)
+        number[leads] = firsts.indices.to_numpy() + len(words)
+        ids, ends = _joined(found, number)
+        bounds = np.concatenate([[0], np.cumsum(counts)])
+        lengths = np.zeros(len(texts), dtype=np.int64)
+        lengths[~odd] = np.diff(ends[bounds])
+        if not odd.any():
+            return ids, lengths
+        whole = [np.frombuffer(self.whole(t), "<u4") for t in texts.filter(pa.array(odd)).to_pylist()]
+        lengths[odd] = [len(x) for x in whole]
+        out = np.empty(int(lengths.sum()), dtype="<u4")
+        of_odd = np.repeat(odd, lengths)
+        out[~of_odd], out[of_odd] = ids, np.concatenate(whole)
+        return out, lengths
+
+    def _first(self, chunks: list[str]) -> list[bytes]:
+        """The ids of chunks without a space before them."""
+        missing = [c for c in chunks if c not in self.firsts]
+        if len(self.firsts) + len(missing) > CACHE_FIRSTS:
+            self.firsts, missing = {}, chunks
+        for chunk, ids in zip(missing, self._encode(missing), strict=True):
+            self.firsts[chunk] = np.array(ids, dtype="<u4").tobytes()
+        return [self.firsts[c] for c in chunks]
+
+
+def _joined(found: list[bytes], number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of chunks end to end, each given by its number, and where each one ends."""
+    ids = np.frombuffer(b"".join(found), dtype="<u4")
+    sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    each = sizes[number]
+    ends = np.concatenate([[0], np.cumsum(each)])
+    places = np.repeat((np.cumsum(sizes) - sizes)[number] - ends[:-1], each)
+    places += np.arange(len(places))
+    return ids[places], ends
 
 
 def encoder(path: str, joined_by_space: bool) -> Encoder:

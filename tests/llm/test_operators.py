@@ -19,6 +19,9 @@ from lakehaul.llm.suffix_dedup import suffix_dedup
 from lakehaul.llm.token_files import read_token_files, write_token_files
 from lakehaul.llm.voronoi_knn import voronoi_knn
 
+public_tokenizers = pytest.importorskip("public_tokenizers")
+TOKENIZER_WORDS = public_tokenizers.path("word_bpe_49k.json")
+TOKENIZER_BYTES = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, key string, row int"
 WORDS = [f"w{i}" for i in range(40)]
 
@@ -241,3 +244,80 @@ def test_voronoi_knn(spark):
 def test_empty_tables(empty, spark):
     for run in (suffix_dedup, substring_dedup, ngram_join, exact_dedup, language_id, find_pii, source_mix):
         assert run(empty).count() == 0, run.__name__
+
+
+def vector_rows(spark, rows):
+    return spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+
+
+def nearest(rows, k=5):
+    """Brute force; of queries with one id the smallest vector."""
+    floors = [(i, [int(np.floor(c * 256)) for c in v]) for i, v in rows]
+    asked = {i: min(v for j, v in floors if j == i) for i, _ in floors if i % 50 == 0}
+    out = []
+    for i, q in asked.items():
+        scored = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in floors if j != i)
+        out += [(i, rank, j, -s) for rank, (s, j) in enumerate(scored[:k], 1)]
+    return sorted(out)
+
+
+CLUSTERS = [(i, [100.0 * (i % 2) + i / 100, 100.0 * (1 - i % 2)]) for i in range(120)]
+
+
+@pytest.mark.parametrize(
+    "rows",
+    [
+        [(0, [1.0, 2.0])],
+        [(i, [0.5, 0.5]) for i in range(10)],
+        CLUSTERS,
+        [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [1.0, 0.0]), (7, [3.0, 1.0]), (8, [1.0, 3.0])],
+    ],
+    ids=["one row", "equal", "two clusters", "repeated queries"],
+)
+def test_voronoi_knn_where_no_other_cell_is_reached(spark, rows):
+    for given in (rows, rows[::-1]):
+        found = voronoi_knn(vector_rows(spark, given), F.col("vec_id") % 50 == 0).collect()
+        assert sorted(map(tuple, found)) == nearest(rows)
+
+
+def test_token_files_of_a_task_are_one_whatever_the_session_says(spark, tmp_path):
+    docs = spark.createDataFrame(
+        [(i // 3 if i % 4 else None, f"text {i} " * (i % 7)) for i in range(300)], "doc_id bigint, text string"
+    )
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 10)
+    try:
+        path = str(tmp_path / "ids")
+        write_token_files(docs, path, TOKENIZER_WORDS, end=1, by_space=False)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    rows = sorted(read_token_files(spark, path).collect(), key=lambda r: r.start)
+    assert len(rows) == 300 and [r.doc_id is None for r in rows] == sorted((r.doc_id is None for r in rows), reverse=True)
+    at = 0
+    for row in rows:
+        assert (row.start, len(row.ids)) == (at, row.n_tokens)
+        at += row.n_tokens
+    ids = [r.doc_id for r in rows if r.doc_id is not None]
+    assert ids == sorted(ids)
+
+
+def test_an_empty_table_of_token_files_and_pieces(spark, empty, tmp_path):
+    path = str(tmp_path / "none")
+    write_token_files(empty, path, TOKENIZER_WORDS, end=1, by_space=False)
+    assert read_token_files(spark, path).count() == 0
+    assert best_fit_packing(token_pieces(empty, TOKENIZER_BYTES, 2), 64).count() == 0
+
+
+def test_pieces_are_cut_counted_and_hashed(spark, docs):
+    """Ids, starts, lengths and checksums of every piece, from whole texts encoded one by one."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(TOKENIZER_BYTES)
+    want = Counter()
+    for row in docs.collect():
+        ids = [*tokenizer.encode(row.text or "", add_special_tokens=False).ids, 2]
+        cuts = [0, *range(len(ids) % 16 or 16, len(ids) + 1, 16)]
+        for piece, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            data = np.array(ids[a:b], dtype="<u4").tobytes()
+            want[row.doc_id, piece, a, b - a, zlib.crc32(data)] += 1
+    rows = token_pieces(docs, TOKENIZER_BYTES, 2, room=16).collect()
+    assert Counter((r.id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want

@@ -50,10 +50,10 @@ def table_shape(spark: SparkSession, ref: TableRef) -> TableShape:
     """
     name = table_name(spark, ref)
     columns = spark.table(name).schema
-    parts = partition_columns(spark, ref)
     if is_plugin(spark, ref.catalog):
-        return TableShape(columns, parts)
+        return TableShape(columns, partition_columns(spark, ref))
     told = details(spark, ref)
+    parts = tuple(told.get("partition_columns") or ())
     kept = {k: v for k, v in told.get("table_properties", {}).items() if not k.startswith(OWN)}
     return TableShape(columns, parts, told.get("comment"), kept)
 

@@ -16,14 +16,18 @@ from collections.abc import Iterator
 
 import numpy as np
 
-_MASK = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Stretches are hashed as polynomials modulo this prime.  Modulo a power of two, some
+#: different texts would have one hash under every base.
+PRIME = (1 << 61) - 1
+_BASE = 0x1E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, PRIME)
 #: Bits of a packed value that hold a place; the others hold the hash.
 _PLACE_BITS = 28
+#: Numbers that are multiplied at a time.
+SLICE = 1 << 13
 _POWERS: dict[str, np.ndarray] = {}
 
-BYTE_CODES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
+BYTE_CODES = np.random.default_rng(20240229).integers(1, PRIME, 256, dtype=np.uint64)
 WORD_BREAK = np.zeros(256, dtype=bool)
 WORD_BREAK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -38,31 +42,72 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def reduced(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers modulo the prime."""
+    x = (x & np.uint64(PRIME)) + (x >> np.uint64(61))
+    return np.minimum(x, x - np.uint64(PRIME))  # a negative difference wraps to a large number
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime, from four products of halves; 2**64 is 8 there.
+
+    Slices that stay in the processor's cache are multiplied one after the other.
+    """
+    half, low = np.uint64(32), np.uint64(0xFFFFFFFF)
+    out = np.empty(len(a), dtype=np.uint64)
+    for start in range(0, len(a), SLICE):
+        part = slice(start, start + SLICE)
+        x, y = a[part], b if len(b) == 1 else b[part]
+        x_high, x_low, y_high, y_low = x >> half, x & low, y >> half, y & low
+        middle = x_high * y_low
+        middle += x_low * y_high
+        x_low = x_low * y_low
+        x_high *= y_high
+        x_high <<= np.uint64(3)
+        x_high += middle >> np.uint64(29)
+        middle &= np.uint64((1 << 29) - 1)
+        middle <<= half
+        x_high += middle
+        x_high += x_low & np.uint64(PRIME)
+        x_high += x_low >> np.uint64(61)
+        out[part] = reduced(x_high)
+    return out
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse, modulo 2**64."""
+    """The first n powers of the base and of its inverse, modulo the prime."""
     have = _POWERS.get("base")
     if have is None or len(have) < n:
         size = max(n, 1 << 18)
         for name, base in (("base", _BASE), ("inverse", _INVERSE)):
-            row = np.full(size, base, dtype=np.uint64)
-            row[0] = 1
-            np.multiply.accumulate(row, out=row)
+            row = np.ones(1, dtype=np.uint64)
+            while len(row) < size:
+                step = np.array([pow(base, len(row), PRIME)], dtype=np.uint64)
+                row = np.concatenate([row, times(row, step)])
             _POWERS[name] = row
     return _POWERS["base"][:n], _POWERS["inverse"][:n]
 
 
 def prefix_sums(symbols: np.ndarray) -> np.ndarray:
-    """Prefix sums from which the hash of any stretch follows."""
+    """Prefix sums, modulo the prime, from which the hash of any stretch follows."""
     base, _ = powers(len(symbols))
+    terms = times(reduced(symbols), base)
     sums = np.zeros(len(symbols) + 1, dtype=np.uint64)
-    np.cumsum(symbols * base, out=sums[1:])
+    # Halves are added up apart, as sums of whole terms would leave 64 bits.
+    high = reduced(np.cumsum(terms >> np.uint64(32)))
+    low = reduced(np.cumsum(terms & np.uint64(0xFFFFFFFF)))
+    sums[1:] = reduced(times(high, np.array([1 << 32], dtype=np.uint64)) + low)
     return sums
 
 
+def between(sums: np.ndarray, starts: np.ndarray | slice, ends: np.ndarray | slice) -> np.ndarray:
+    return reduced(sums[ends] + (np.uint64(PRIME) - sums[starts]))
+
+
 def stretch_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of the stretches [start, end); equal content gives equal hashes."""
     _, inverse = powers(len(sums))
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    return mix(times(between(sums, starts, ends), inverse[starts]) + (ends - starts).astype(np.uint64))
 
 
 def gram_hashes(sums: np.ndarray, size: int) -> np.ndarray:
@@ -71,7 +116,7 @@ def gram_hashes(sums: np.ndarray, size: int) -> np.ndarray:
     if n <= 0:
         return np.empty(0, dtype=np.uint64)
     _, inverse = powers(n)
-    return mix((sums[size:] - sums[:n]) * inverse + np.uint64(size))
+    return mix(times(between(sums, slice(n), slice(size, None)), inverse) + np.uint64(size))
 
 
 def sliding_least(values: np.ndarray, size: int) -> np.ndarray:

@@ -8,19 +8,21 @@ tokens their prefixes, the first ``n - ceil(t n) + 1`` tokens, have one in commo
 many they must have in common follows from the sizes: the overlap has to reach
 ``ceil(t / (1 + t) (n + m))``, and behind the prefix there are only ``ceil(t n) - 1``.
 
-1. **First order, on Spark.**  Tokens are ordered by a scrambled hash, those that a
-   sample of documents shows to be frequent last (a bitmap of fixed size; any order is
-   right, and rare tokens first make short lists).  Each class gives its prefix, and
-   tokens of one class alone are dropped.  Classes that share a token of at most
-   ``LIST`` holders become pairs, and pairs that share too few tokens are dropped.  The
-   holders of a longer list are tied to the least of them only: never all pairs.
-2. **Groups.**  Pairs and ties are joined to connected groups.  Two similar classes are
+1. **First order.**  Tokens are ordered by a scrambled hash, those that a sample of
+   documents shows to be frequent last (a bitmap of fixed size; any order is right, and
+   rare tokens first make short lists).  The prefixes are dealt by token, once, and each
+   task reads its tokens in order: at most ``LIST`` holders become pairs, unless their
+   sizes forbid it, and those of a longer list are tied to the least of them only: never
+   all pairs.  Tokens known to be frequent are counted before they are dealt, so that
+   none of them has all its holders in one task.  Pairs that share too few tokens go.
+2. **Second order.**  A pair stays only if it shares enough prefix tokens under another
+   order as well.  No set has been moved up to here.
+3. **Groups.**  Pairs and ties are joined to connected groups.  Two similar classes are
    always in one group, and each group's sets are fetched once.
-3. **More orders, and verification, group by group.**  From each class in turn, the
-   classes not reached yet that share enough prefix tokens under *every* order are the
-   candidates; their whole sets are intersected, and those that are similar are reached
-   next.  A class is compared with unreached ones only, so the links inside a
-   component already found are never listed.
+   From each class in turn, the classes not reached yet that share enough prefix tokens
+   under *every* one of three orders are the candidates; their whole sets are intersected,
+   and those that are similar are reached next.  A class is compared with unreached ones
+   only, so the links inside a component already found are never listed.
 4. A group of more than ``GROUP_TOKENS`` tokens is divided into blocks, and each two
    blocks are compared as a group of their own: bounded memory, no pair lost.  Its
    components are joined afterwards.
@@ -52,7 +54,11 @@ BITMAP_BITS, BITMAP_TOKENS = 22, 1 << 20
 #: Seeds of the token orders.
 ORDERS = (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47, 0xD1B54A32D192ED03)
 
-SETS = "key struct<id:bigint,check:bigint>, n int, class bigint, prefix array<bigint>"
+PREFIXES = ("rare", "often", "second")
+SETS = "key struct<id:bigint,check:bigint>, n int, class bigint, " + ", ".join(f"{p} array<bigint>" for p in PREFIXES)
+SHARES = "u bigint, v bigint, u_n bigint, v_n bigint, shared bigint"
+#: Prefix tokens that one numpy pass looks at.
+PASS_TOKENS = 1 << 17
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -93,13 +99,16 @@ def beyond(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * n // 100) - 1
 
 
+def frequent(tokens: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    bit = (tokens >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
+    return (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1
+
+
 def ranked(tokens: np.ndarray, seed: int, bitmap: np.ndarray | None) -> np.ndarray:
     """Sort keys of tokens: frequent ones last, otherwise scrambled by the seed."""
     rank = anchors.mix(tokens ^ np.uint64(seed)) >> np.uint64(1)
     if bitmap is not None:
-        bit = (tokens >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
-        often = (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1
-        rank |= often.astype(np.uint64) << np.uint64(63)
+        rank |= frequent(tokens, bitmap).astype(np.uint64) << np.uint64(63)
     return rank
 
 
@@ -118,22 +127,36 @@ def class_of(tokens: np.ndarray) -> int:
     return int(anchors.mix(np.array([total + np.uint64(len(tokens))])).view(np.int64)[0])
 
 
+def lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    flat = np.concatenate(arrays) if arrays else np.empty(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
+
+
 def make_sets(size: int, percent: int, bitmap: bytes) -> Callable:
+    """Size, class and prefixes of each text.  A task gives a class's prefixes once."""
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(bitmap, np.uint8)
+        none = np.empty(0, np.uint64)
+        seen = set()
         for batch in batches:
-            sets = list(text_sets(batch.column("text"), size))
-            prefixes = [prefix_of(s, ORDERS[0], bits, percent).view(np.int64) for s in sets]
-            offsets = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
-            flat = np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)
+            sizes, classes, found = [], [], ([], [], [])
+            for tokens in text_sets(batch.column("text"), size):
+                sizes.append(len(tokens))
+                classes.append(class_of(tokens) if len(tokens) else None)
+                rare = often = second = none
+                if len(tokens) and classes[-1] not in seen:
+                    seen.add(classes[-1])
+                    first = prefix_of(tokens, ORDERS[0], bits, percent)
+                    common = frequent(first, bits).astype(bool)
+                    rare, often = first[~common], first[common]
+                    second = prefix_of(tokens, ORDERS[1], bits, percent)
+                for column, prefix in zip(found, (rare, often, second), strict=True):
+                    column.append(prefix)
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("key"),
-                    pa.array([len(s) for s in sets], pa.int32()),
-                    pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
-                ],
-                ["key", "n", "class", "prefix"],
+                [batch.column("key"), pa.array(sizes, pa.int32()), pa.array(classes, pa.int64()), *map(lists, found)],
+                ["key", "n", "class", *PREFIXES],
             )
 
     return make
@@ -142,12 +165,79 @@ def make_sets(size: int, percent: int, bitmap: bytes) -> Callable:
 def token_rows(size: int) -> Callable:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for tokens in text_sets(batch.column("text"), size):
-                yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64))], ["token"])
+            column = lists(list(text_sets(batch.column("text"), size))).flatten()
+            yield pa.RecordBatch.from_arrays([column], ["token"])
 
     return rows
 
 
+def list_pairs(classes: np.ndarray, sizes: np.ndarray, begins: np.ndarray, lengths: np.ndarray, percent: int) -> Iterator[tuple]:
+    """Pairs of the holders of one token whose sizes are near enough, for short lists."""
+    for length in np.unique(lengths[lengths > 1]).tolist():
+        low, high = np.triu_indices(length, 1)
+        at = begins[lengths == length]
+        step = max(1, PASS_TOKENS // len(low))
+        for start in range(0, len(at), step):
+            u = (at[start : start + step, None] + low).ravel()
+            v = (at[start : start + step, None] + high).ravel()
+            near = np.minimum(sizes[u], sizes[v]) * 100 >= np.maximum(sizes[u], sizes[v]) * percent
+            u, v = u[near], v[near]
+            yield classes[u], classes[v], sizes[u], sizes[v], np.ones(len(u), np.int64)
+
+
+def share_rows(percent: int, most: int) -> Callable:
+    """Pairs and ties of rows that come ordered by token and class.
+
+    A tie has ``shared`` 0 and leads to the least holder, which is also tied to itself.
+    Of a token whose list goes on, only up to ``most`` holders are kept in memory.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        empty = np.empty(0, np.int64)
+        tokens, classes, sizes = empty, empty, empty
+        long = None  # token and least holder of a long list that goes on
+        waiting, rows, last = [], 0, False
+        batches = iter(batches)
+        while not last:
+            batch = next(batches, None)
+            last = batch is None
+            if not last:
+                waiting.append([batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "class", "n")])
+                rows += batch.num_rows
+                if rows < PASS_TOKENS:
+                    continue
+            columns = [(tokens, classes, sizes), *waiting]
+            tokens, classes, sizes = (np.concatenate([c[i] for c in columns]).astype(np.int64) for i in range(3))
+            waiting, rows = [], 0
+            if not len(tokens):
+                continue
+            fresh = np.ones(len(tokens), dtype=bool)
+            fresh[1:] = (tokens[1:] != tokens[:-1]) | (classes[1:] != classes[:-1])
+            tokens, classes, sizes = tokens[fresh], classes[fresh], sizes[fresh]
+            begins = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
+            lengths = np.diff(np.append(begins, len(tokens)))
+            least = classes[begins]
+            tied = lengths > most
+            if long is not None and tokens[0] == long[0]:
+                least[0], tied[0] = long[1], True
+            done = np.ones(len(begins), dtype=bool)
+            done[-1] = last or tied[-1]
+            use = ~tied & done
+            yield from list_pairs(classes, sizes, begins[use], lengths[use], percent)
+            each = np.repeat(tied, lengths)
+            n, to = sizes[each], np.repeat(least[tied], lengths[tied])
+            yield classes[each], to, n, n, np.zeros(len(n), np.int64)
+            long = (tokens[-1], least[-1]) if tied[-1] else None
+            rest = slice(len(tokens), None) if done[-1] else slice(int(begins[-1]), None)
+            tokens, classes, sizes = tokens[rest], classes[rest], sizes[rest]
+
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in scan(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["u", "v", "u_n", "v_n", "shared"])
+
+    return share
+
+
 def frequent_tokens(texts: DataFrame, size: int) -> bytes:
     """A bitmap, of fixed size, of tokens found three times or more in a sample."""
     counts = (
@@ -230,7 +320,7 @@ def reach(sets: list[np.ndarray], percent: int) -> np.ndarray:
 
 def compare_group(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("class", ignore_index=True)
+        rows = rows.drop_duplicates("class").sort_values("class", ignore_index=True)
         sets = [np.frombuffer(b, np.uint64) for b in rows["tokens"]]
         names = rows["class"].to_numpy()
         return pd.DataFrame({"u": names, "v": names[reach(sets, percent)]})
@@ -240,7 +330,11 @@ def compare_group(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
 
 def fetch_sets(size: int) -> Callable:
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
+            # Equal rows have one key: a task sends their set once.
+            fresh = [c for c in enumerate(batch.column("class").to_pylist()) if c[1] not in seen and not seen.add(c[1])]
+            batch = batch.take(pa.array([row for row, _ in fresh], pa.int64()))
             sets = [s.tobytes() for s in text_sets(batch.column("text"), size)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("class"), batch.column("group"), batch.column("blocks"), pa.array(sets, pa.binary())],
@@ -250,6 +344,78 @@ def fetch_sets(size: int) -> Callable:
     return fetch
 
 
+def often_shares(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs and ties of the tokens known to be frequent, counted before they are dealt."""
+    tokens = sets.select(F.explode("often").alias("token"), "class", F.col("n").cast("bigint").alias("n"))
+    shared = (
+        tokens.groupBy("token", "class").agg(F.max("n").alias("n"))
+        .groupBy("token")
+        .agg(F.min("class").alias("least"), F.count(F.lit(1)).alias("holders"))
+        .where("holders > 1")
+        .select("token", "least", (F.col("holders") > LIST).alias("long"))
+    )
+    holders = written(tokens.join(shared, "token").distinct(), "holders")
+    ties = holders.where("long").select(
+        F.col("class").alias("u"), F.col("least").alias("v"), F.col("n").alias("u_n"), F.col("n").alias("v_n"), F.lit(0).cast("bigint").alias("shared")
+    )
+    short = holders.where("NOT long").select("token", "class", "n")
+    a, b = short.alias("a"), short.alias("b")
+    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.class") < F.col("b.class"))).where(
+        F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent
+    )
+    return ties.union(
+        pairs.select("a.class", "b.class", "a.n", "b.n", F.lit(1).cast("bigint"))
+    )
+
+
+def candidates(sets: DataFrame, percent: int) -> DataFrame:
+    """Edges ``u``, ``v``: pairs that pass both orders, and ties of long lists."""
+    rare = (
+        sets.select(F.explode("rare").alias("token"), "class", "n")
+        .repartition("token")
+        .sortWithinPartitions("token", "class")
+        .mapInArrow(share_rows(percent, LIST), SHARES)
+    )
+    shares = written(
+        rare.union(often_shares(sets, percent))
+        .groupBy("u", "v")
+        .agg(
+            F.max("u_n").alias("u_n"),
+            F.max("v_n").alias("v_n"),
+            F.sum("shared").alias("shared"),
+            F.count_if(F.col("shared") == 0).alias("ties"),
+        ),
+        "shares",
+    )
+    ties = shares.where("ties > 0")
+    longs = ties.groupBy(F.col("u").alias("class")).agg(F.sum("ties").alias("longs"))
+    high = F.greatest("u_n", "v_n")
+    least = F.ceil((F.col("u_n") + F.col("v_n")) * percent / (100 + percent)) - F.ceil(high * percent / 100) + 1
+    first = written(
+        shares.where("shared > 0")
+        .join(longs.select(F.col("class").alias("u"), F.col("longs").alias("u_longs")), "u", "left")
+        .join(longs.select(F.col("class").alias("v"), F.col("longs").alias("v_longs")), "v", "left")
+        .where(F.col("shared") + F.least(F.coalesce("u_longs", F.lit(0)), F.coalesce("v_longs", F.lit(0))) >= least)
+        .select("u", "v", F.greatest(least, F.lit(1)).alias("least")),
+        "first",
+    )
+    nodes = first.select(F.explode(F.array("u", "v")).alias("class")).distinct()
+    second = (
+        sets.where(F.size("second") > 0)
+        .select("class", "second")
+        .join(nodes, "class", "left_semi")
+        .groupBy("class")
+        .agg(F.first("second").alias("second"))
+    )
+    second = written(second, "second")
+    both = (
+        first.join(second.select(F.col("class").alias("u"), F.col("second").alias("u_second")), "u")
+        .join(second.select(F.col("class").alias("v"), F.col("second").alias("v_second")), "v")
+        .where(F.size(F.array_intersect("u_second", "v_second")) >= F.col("least"))
+    )
+    return both.select("u", "v").union(ties.select("u", "v"))
+
+
 def ngram_join(
     docs: DataFrame,
     size: int = 5,
@@ -272,39 +438,7 @@ def ngram_join(
     texts = keyed_texts(docs, id_col, text_col)
     bitmap = frequent_tokens(texts, size)
     sets = written(texts.mapInArrow(make_sets(size, percent, bitmap), SETS), "sets")
-    tokens = sets.select(F.explode("prefix").alias("token"), "class", "n")
-    shared = (
-        tokens.groupBy("token")
-        .agg(F.min("class").alias("least"), F.max("class").alias("most"), F.count(F.lit(1)).alias("holders"))
-        .where("least < most")
-        .select("token", "least", (F.col("holders") > LIST).alias("long"))
-    )
-    holders = written(tokens.join(shared, "token").distinct(), "holders")
-    ties = holders.where("long").select(F.col("class").alias("u"), F.col("least").alias("v"))
-    longs = holders.where("long").groupBy("class").agg(F.count(F.lit(1)).alias("longs"))
-    short = holders.where("NOT long").select("token", "class", "n")
-    a, b = short.alias("a"), short.alias("b")
-    low, high = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
-    pairs = (
-        a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.class") < F.col("b.class")))
-        .where(low * 100 >= high * percent)
-        .groupBy(
-            F.col("a.class").alias("u"),
-            F.col("b.class").alias("v"),
-            F.ceil((F.col("a.n") + F.col("b.n")) * percent / (100 + percent)).alias("need"),
-            (F.ceil(high * percent / 100) - 1).alias("behind"),
-        )
-        .agg(F.count(F.lit(1)).alias("shared"))
-        .join(longs.select(F.col("class").alias("u"), F.col("longs").alias("u_longs")), "u", "left")
-        .join(longs.select(F.col("class").alias("v"), F.col("longs").alias("v_longs")), "v", "left")
-        .where(
-            F.col("shared")
-            + F.least(F.coalesce("u_longs", F.lit(0)), F.coalesce("v_longs", F.lit(0)))
-            >= F.col("need") - F.col("behind")
-        )
-        .select("u", "v")
-    )
-    groups = components(pairs.union(ties)).select(
+    groups = components(candidates(sets, percent)).select(
         F.col("node").alias("class"), F.col("component").alias("group")
     )
 

@@ -35,8 +35,9 @@ SHARD_PIECES = 20_000
 SOLUTIONS, GENERATIONS, MIGRATE = 3, 6, 3
 #: Bins filled to this share stay when the rest migrates.
 NEARLY_FULL = 0.995
-#: Bytes of texts encoded together, about; a longer text is encoded alone.
-TOGETHER = 16 << 20
+#: Bytes of texts encoded together, about; a longer text is encoded alone.  A worker holds
+#: some twenty times as many at once.
+TOGETHER = 4 << 20
 
 PIECES = "id bigint, row_check bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PACKED = PIECES + ", sequence_id bigint, offset bigint, settled boolean"

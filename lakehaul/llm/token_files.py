@@ -112,7 +112,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``ids``, and ``start``: the ids of all documents before.
 
     Starts come from the metadata columns alone: each file holds its own running sums,
-    and the totals of the files, a row per file, are added up in their order.
+    and the totals of the files, a row per file, are added up in their order.  These few rows
+    are broadcast: ids are not shuffled to be read.
     """
     rows = spark.read.schema(IDS).parquet(path).withColumn("file", F.col("_metadata.file_name"))
     totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"))
@@ -121,7 +122,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     ahead = totals.select(
         F.col("file").alias("of"), F.coalesce(F.sum("total").over(files), F.lit(0)).alias("ahead")
     )
-    return rows.join(ahead, F.col("file") == F.col("of")).select(
+    return rows.join(F.broadcast(ahead), F.col("file") == F.col("of")).select(
         "doc_id", (F.col("ahead") + F.col("within")).alias("start"), "n_tokens", "ids"
     )
 

@@ -8,14 +8,17 @@ and its context (what stands before and behind it).  Gradient-boosted trees give
 probability, and proposals above their kind's threshold are taken, the likeliest first, if they
 overlap nothing taken before.
 
-There are no labels, so the trees learn from the base patterns: on at most ``FIT_DOCS``
-documents chosen by hash, and on the invented texts of ``seeds``, so that a table with few
-base spans has examples too.  Positive are base spans rewritten in the ways that the
-generators allow; negative are proposals that cannot be what they are proposed as
-(``plausible``: check digit, groups of digits, dates, parts of longer runs).  A proposal
-that could be personal data is not labelled: nobody knows, and there may be many.
-One half of the texts trains, and on the other half each kind's threshold is set: the
-least at which the share of negatives among all accepted falls under ``MISTAKES``.
+There are no labels, so the trees learn from the base patterns of all documents, and of
+the invented texts of ``seeds``, so that a table with few base spans has examples too.
+Positive are base spans rewritten in the ways that the generators allow; negative are
+proposals that cannot be what they are proposed as (``plausible``: check digit, groups of
+digits, dates, parts of longer runs).  A proposal that could be personal data is not
+labelled: nobody knows, and there may be many.  One half of the texts trains: Spark takes
+each feature's quantiles as its cuts and counts equal examples, and for each level of a
+tree every task adds up the gradients by node, feature and cut; only these sums, of fixed
+size, reach the driver.  They are whole numbers, so that no division into tasks changes the
+trees.  On the other half each kind's threshold is set: the least at which the share of
+negatives among all accepted falls under ``MISTAKES``, in steps of 1 / ``STEPS``.
 Implausible proposals are never taken.  Numbers that as often mean something else (without
 separators, grouped by thousands, or all of two digits) are phones only behind a word for one.
 """
@@ -35,12 +38,13 @@ from pyspark.sql import functions as F
 
 from lakehaul.llm.shared import written
 
-#: Documents, and proposals in them, that the trees learn from, at most.
-FIT_DOCS, FIT_ROWS = 20_000, 40_000
 #: Trees, their depth, learning rate, and examples of a kind that are enough.
 TREES, DEPTH, RATE, ENOUGH = 40, 3, 0.2, 30
 #: Share of wrong spans that a threshold may let through.
 MISTAKES = 0.01
+#: Quantiles that are tried as cuts of a feature, at most; steps of probability that
+#: thresholds tell apart; units of a gradient, whose sums stay exact in doubles.
+QUANTILES, STEPS, UNITS = 33, 1 << 16, 1 << 20
 #: Characters of context on either side.
 CONTEXT = 24
 
@@ -268,22 +272,16 @@ def seeds() -> list[str]:
 
 def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows, labels, halves, places = [], [], [], []
+        rows, labels, halves = [], [], []
         for text in batch.column("text").to_pylist():
             text = text or ""
             for x, y in described(text):
                 rows.append(x)
                 labels.append(y)
                 halves.append(half(text))
-                places.append(zlib.crc32(f"{len(places)} {text[:200]}".encode("utf-8", "surrogatepass")))
         yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(rows, pa.list_(pa.float64())),
-                pa.array(labels, pa.int32()),
-                pa.array(halves, pa.int32()),
-                pa.array(places, pa.int64()),
-            ],
-            ["x", "y", "half", "place"],
+            [pa.array(rows, pa.list_(pa.float64())), pa.array(labels, pa.int32()), pa.array(halves, pa.int32())],
+            ["x", "y", "half"],
         )
 
 
@@ -293,9 +291,9 @@ class Tree:
     cut: np.ndarray
     value: np.ndarray
 
-    def leaves(self, x: np.ndarray) -> np.ndarray:
+    def leaves(self, x: np.ndarray, depth: int = DEPTH) -> np.ndarray:
         node = np.zeros(len(x), dtype=np.int64)
-        for _ in range(DEPTH):
+        for _ in range(depth):
             node = 2 * node + 1 + (x[np.arange(len(x)), self.feature[node]] > self.cut[node])
         return node
 
@@ -303,32 +301,6 @@ class Tree:
         return self.value[self.leaves(x)]
 
 
-def grow(x: np.ndarray, gradient: np.ndarray, weight: np.ndarray, cuts: list[np.ndarray]) -> Tree:
-    """A full tree of fixed depth; each split has the largest gain of all cuts."""
-    inner, size = 2**DEPTH - 1, 2 ** (DEPTH + 1) - 1
-    tree = Tree(np.zeros(size, np.int64), np.full(size, np.inf), np.zeros(size))
-    members = {0: np.arange(len(x))}
-    for node in range(inner):
-        rows = members.get(node, np.empty(0, np.int64))
-        g, h, best = gradient[rows].sum(), weight[rows].sum(), 1e-6
-        for feature, values in enumerate(cuts):
-            if not len(values) or not len(rows):
-                continue
-            place = np.searchsorted(values, x[rows, feature])  # x <= values[place]
-            left_g = np.cumsum(np.bincount(place, gradient[rows], len(values) + 1))[:-1]
-            left_h = np.cumsum(np.bincount(place, weight[rows], len(values) + 1))[:-1]
-            gain = left_g**2 / (left_h + 1) + (g - left_g) ** 2 / (h - left_h + 1) - g**2 / (h + 1)
-            if gain.max() > best:
-                best, at = gain.max(), int(gain.argmax())
-                tree.feature[node], tree.cut[node] = feature, values[at]
-        right = x[rows, tree.feature[node]] > tree.cut[node]
-        members[2 * node + 1], members[2 * node + 2] = rows[~right], rows[right]
-    for leaf in range(inner, size):
-        rows = members[leaf]
-        tree.value[leaf] = gradient[rows].sum() / (weight[rows].sum() + 1)
-    return tree
-
-
 @dataclass
 class Model:
     trees: list[Tree]
@@ -340,31 +312,132 @@ class Model:
         return 1 / (1 + np.exp(-total))
 
 
-def train(x: np.ndarray, y: np.ndarray, half: np.ndarray) -> Model:
+def to_places(cuts: list[np.ndarray]) -> Callable:
+    """For each example its kind and, per feature, how many cuts lie below its value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, len(cuts))
+            places = np.empty(x.shape, np.uint8)
+            for feature, values in enumerate(cuts):
+                places[:, feature] = np.searchsorted(values, x[:, feature])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([row.tobytes() for row in places], pa.binary()),
+                    pa.array(x[:, 0].astype(np.int32)),
+                    batch.column("y"),
+                    batch.column("half"),
+                ],
+                ["places", "kind", "y", "half"],
+            )
+
+    return run
+
+
+def of_places(batch: pa.RecordBatch, features: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    places = np.frombuffer(b"".join(batch.column("places").to_pylist()), np.uint8).reshape(-1, features)
+    return places, batch.column("y").to_numpy(), batch.column("n").to_numpy()
+
+
+def gradient_sums(model: Model, tree: Tree, level: int, features: int) -> Callable:
+    """Sums of gradients and weights by node of a level, feature and place: a row per task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, 2**level * features * QUANTILES), np.int64)
+        for batch in batches:
+            places, y, n = of_places(batch, features)
+            p = model.probability(places)
+            node = tree.leaves(places, level) - (2**level - 1)
+            at = ((node[:, None] * features + np.arange(features)) * QUANTILES + places).ravel()
+            for total, part in zip(sums, (y - p, p * (1 - p)), strict=True):
+                each = np.repeat(np.rint(part * UNITS) * n, features)
+                total += np.bincount(at, each, len(total)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], ["sums"])
+
+    return run
+
+
+def grown(fit: DataFrame, model: Model, cuts: list[np.ndarray]) -> Tree:
+    """A full tree of fixed depth, by places; each split has the largest gain of all cuts."""
+    size = 2 ** (DEPTH + 1) - 1
+    tree = Tree(np.zeros(size, np.int64), np.full(size, np.inf), np.zeros(size))
+    for level in range(DEPTH):
+        parts = fit.mapInArrow(gradient_sums(model, tree, level, len(cuts)), "sums binary").collect()
+        total = np.sum([np.frombuffer(row["sums"], np.int64) for row in parts], axis=0)
+        sums = total.reshape(2, 2**level, len(cuts), QUANTILES) / UNITS
+        for number in range(2**level):
+            node = 2**level - 1 + number
+            (g, h), best = sums[:, number, 0].sum(axis=1), 1e-6
+            left = g, h  # without a split all rows go to the left
+            for feature, values in enumerate(cuts):
+                if not len(values):
+                    continue
+                left_g, left_h = np.cumsum(sums[:, number, feature], axis=1)[:, : len(values)]
+                gain = left_g**2 / (left_h + 1) + (g - left_g) ** 2 / (h - left_h + 1) - g**2 / (h + 1)
+                if gain.max() > best:
+                    best, at = gain.max(), int(gain.argmax())
+                    tree.feature[node], tree.cut[node] = feature, at
+                    left = left_g[at], left_h[at]
+            if level == DEPTH - 1:
+                tree.value[2 * node + 1] = left[0] / (left[1] + 1)
+                tree.value[2 * node + 2] = (g - left[0]) / (h - left[1] + 1)
+    return tree
+
+
+def to_scores(model: Model, features: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places, _, _ = of_places(batch, features)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("kind"), pa.array(model.probability(places)), batch.column("y"), batch.column("n")],
+                ["kind", "score", "y", "n"],
+            )
+
+    return run
+
+
+def train(shown: DataFrame) -> Model:
     """Boosted trees from the rows of half 0, thresholds from those of half 1."""
-    fit_x, fit_y = x[half == 0], y[half == 0]
+    fit = shown.where("half = 0")
+    width = len(features(0, "", "", ""))
+    shares = [float(q) for q in np.linspace(0, 1, QUANTILES)]
+    found = fit.agg(
+        F.avg("y").alias("mean"), *(F.percentile(F.col("x")[i], shares).alias(f"x{i}") for i in range(width))
+    ).first()
     model = Model([], 0.0, {})
-    if len(np.unique(fit_y)) < 2:
+    if found["mean"] is None or not 0 < found["mean"] < 1:
         return model
-    cuts = [np.unique(np.quantile(column, np.linspace(0, 1, 33)))[:-1] for column in fit_x.T]
-    model.start = float(np.log(fit_y.mean() / (1 - fit_y.mean())))
-    total = np.full(len(fit_y), model.start)
+    cuts = [np.unique(found[f"x{i}"])[:-1] for i in range(width)]
+    counted = written(
+        shown.mapInArrow(to_places(cuts), "places binary, kind int, y int, half int")
+        .groupBy("places", "kind", "y", "half")
+        .agg(F.count(F.lit(1)).alias("n")),
+        "counted-examples",
+    )
+    fit = counted.where("half = 0")
+    model.start = float(np.log(found["mean"] / (1 - found["mean"])))
     for _ in range(TREES):
-        p = 1 / (1 + np.exp(-total))
-        tree = grow(fit_x, fit_y - p, p * (1 - p), cuts)
-        model.trees.append(tree)
-        total += RATE * tree.predict(fit_x)
-    score, truth, kinds = model.probability(x[half == 1]), y[half == 1], x[half == 1, 0]
+        model.trees.append(grown(fit, model, cuts))
+    score = F.col("score")
+    steps = (
+        counted.where("half = 1")
+        .mapInArrow(to_scores(model, width), "kind int, score double, y int, n bigint")
+        .groupBy("kind", F.floor(score * STEPS).alias("step"))
+        .agg(F.min(score).alias("score"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("y")).alias("right"))
+        .orderBy("kind", F.desc("step"))
+        .collect()  # at most STEPS + 1 rows of a kind
+    )
     for kind in (0, 2, 3):
-        mine = kinds == kind
-        order = np.argsort(-score[mine], kind="stable")
-        ranked, right = score[mine][order], truth[mine][order]
-        wrong = np.cumsum(1 - right)
-        good = np.flatnonzero((wrong <= MISTAKES * np.arange(1, len(right) + 1)) & (np.cumsum(right) >= ENOUGH))
-        # All of one score are accepted together.
-        good = [i for i in good if i + 1 == len(ranked) or ranked[i + 1] < ranked[i]]
-        if good:
-            model.thresholds[kind] = max(float(ranked[good[-1]]), 0.5)
+        n = right = 0
+        for row in steps:
+            if row["kind"] != kind:
+                continue
+            n, right = n + row["n"], right + row["right"]
+            if n - right <= MISTAKES * n and right >= ENOUGH:
+                model.thresholds[kind] = max(row["score"], 0.5)
+    for tree in model.trees:  # places become values
+        for node in np.flatnonzero(np.isfinite(tree.cut)).tolist():
+            tree.cut[node] = cuts[tree.feature[node]][int(tree.cut[node])]
     return model
 
 
@@ -425,13 +498,7 @@ def find_all(model) -> Callable:
     return run
 
 
-def find_pii(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    fit_docs: int = FIT_DOCS,
-    fit_rows: int = FIT_ROWS,
-) -> DataFrame:
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Spans of personal data in every whole text.
 
     Returns the id, ``n_email``, ``n_ip``, ``n_card``, ``n_phone`` (spans of the base
@@ -441,23 +508,10 @@ def find_pii(
     Other columns are not looked at.  An empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    total = rows.count()
-    sample = rows
-    if total > fit_docs:
-        scale = 1 << 40
-        sample = rows.where(
-            F.pmod(F.xxhash64("id", "text"), F.lit(scale)) < int(scale * fit_docs / total)
-        )
-    shown = written(
-        sample.select("text").mapInArrow(examples, "x array<double>, y int, half int, place bigint"), "examples"
-    )
-    found = shown.orderBy(F.xxhash64("x", "place"), "x", "y", "half").limit(fit_rows).toPandas()
-    own = [(x, y, half(text)) for text in seeds() for x, y in described(text)]
-    model = train(
-        np.array([*found["x"].tolist(), *(x for x, _, _ in own)]),
-        np.array([*found["y"], *(y for _, y, _ in own)], dtype=np.float64),
-        np.array([*found["half"], *(h for _, _, h in own)], dtype=np.int64),
-    )
+    own = [([float(v) for v in x], y, half(text)) for text in seeds() for x, y in described(text)]
+    columns = "x array<double>, y int, half int"
+    found = rows.select("text").mapInArrow(examples, columns)
+    model = train(written(found.union(docs.sparkSession.createDataFrame(own, columns)), "examples"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return rows.mapInArrow(find_all(shared), f"id bigint, {FOUND}").withColumnRenamed("id", id_col)
 

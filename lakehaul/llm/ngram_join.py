@@ -18,7 +18,8 @@ many they must have in common follows from the sizes: the overlap has to reach
 2. **Second order.**  A pair stays only if it shares enough prefix tokens under another
    order as well.  No set has been moved up to here.
 3. **Groups.**  Pairs and ties are joined to connected groups.  Two similar classes are
-   always in one group, and each group's sets are fetched once.
+   always in one group, and each group's sets are fetched once; a bitmap of their
+   documents keeps the texts of all others out of that shuffle.
    From each class in turn, the classes not reached yet that share enough prefix tokens
    under *every* one of three orders are the candidates; their whole sets are intersected,
    and those that are similar are reached next.  A class is compared with unreached ones
@@ -51,6 +52,10 @@ GROUP_TOKENS = 2_000_000
 SAMPLE = 16
 #: Bits of the bitmap of frequent tokens, as a power of two, and tokens put in it at most.
 BITMAP_BITS, BITMAP_TOKENS = 22, 1 << 20
+#: Bits of the bitmap of documents whose sets are compared, as a power of two.
+KEY_BITS = 25
+#: Bits of a token by which pairs are compared under the second order, at most 16.
+MARK_BITS = 16
 #: Seeds of the token orders.
 ORDERS = (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47, 0xD1B54A32D192ED03)
 
@@ -238,6 +243,36 @@ def share_rows(percent: int, most: int) -> Callable:
     return share
 
 
+def bitmap_of(hashes: DataFrame, bits: int) -> bytes:
+    """A bitmap of 2^``bits`` bits, with those set that the column ``hash`` begins with."""
+    place = F.shiftrightunsigned("hash", 64 - bits)
+    parts = (
+        hashes.select(F.shiftright(place, 15).alias("part"), place.bitwiseAND(32767).alias("bit"))
+        .groupBy("part")
+        .agg(F.bitmap_construct_agg("bit").alias("bits"))
+        .collect()
+    )  # 2^(bits - 15) rows of 4 KB at most
+    bitmap = bytearray(1 << (bits - 3))
+    for row in parts:
+        bitmap[row["part"] * 4096 : row["part"] * 4096 + 4096] = bytes(row["bits"]).ljust(4096, b"\0")
+    return bytes(bitmap)
+
+
+def with_wanted_keys(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The ``texts`` whose key is among those of ``wanted``, and a few others: what a bitmap lets
+    through, so that the others are not shuffled."""
+    hashed = F.xxhash64("key").alias("hash")
+    shared = texts.sparkSession.sparkContext.broadcast(bitmap_of(wanted.select(hashed), KEY_BITS))
+
+    @F.pandas_udf("boolean")
+    def held(hashes: pd.Series) -> pd.Series:
+        place = (hashes.to_numpy(np.int64).view(np.uint64) >> np.uint64(64 - KEY_BITS)).astype(np.int64)
+        bitmap = np.frombuffer(shared.value, np.uint8)
+        return pd.Series((bitmap[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1)
+
+    return texts.where(held(hashed))
+
+
 def frequent_tokens(texts: DataFrame, size: int) -> bytes:
     """A bitmap, of fixed size, of tokens found three times or more in a sample."""
     counts = (
@@ -255,18 +290,7 @@ def frequent_tokens(texts: DataFrame, size: int) -> bytes:
         if total > BITMAP_TOKENS:
             least = row["n"] + 1
             break
-    place = F.shiftrightunsigned("token", 64 - BITMAP_BITS)
-    parts = (
-        counts.where(F.col("count") >= least)
-        .select(F.shiftright(place, 15).alias("part"), place.bitwiseAND(32767).alias("bit"))
-        .groupBy("part")
-        .agg(F.bitmap_construct_agg("bit").alias("bits"))
-        .collect()
-    )  # 128 rows of 4 KB at most
-    bitmap = bytearray(1 << (BITMAP_BITS - 3))
-    for row in parts:
-        bitmap[row["part"] * 4096 : row["part"] * 4096 + 4096] = bytes(row["bits"]).ljust(4096, b"\0")
-    return bytes(bitmap)
+    return bitmap_of(counts.where(F.col("count") >= least).select(F.col("token").alias("hash")), BITMAP_BITS)
 
 
 def reach(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -400,9 +424,15 @@ def candidates(sets: DataFrame, percent: int) -> DataFrame:
         "first",
     )
     nodes = first.select(F.explode(F.array("u", "v")).alias("class")).distinct()
+    # Pairs carry short marks of their tokens. Tokens of a set that have one mark are one less
+    # in the count, and so many are added to it: no pair is lost.
+    marks = F.array_distinct(
+        F.transform("second", lambda token: F.shiftright(F.xxhash64(token), 64 - MARK_BITS).cast("smallint"))
+    )
     second = (
         sets.where(F.size("second") > 0)
-        .select("class", "second")
+        .select("class", F.size("second").alias("size"), marks.alias("marks"))
+        .select("class", F.struct("marks", (F.col("size") - F.size("marks")).alias("lost")).alias("second"))
         .join(nodes, "class", "left_semi")
         .groupBy("class")
         .agg(F.first("second").alias("second"))
@@ -411,7 +441,10 @@ def candidates(sets: DataFrame, percent: int) -> DataFrame:
     both = (
         first.join(second.select(F.col("class").alias("u"), F.col("second").alias("u_second")), "u")
         .join(second.select(F.col("class").alias("v"), F.col("second").alias("v_second")), "v")
-        .where(F.size(F.array_intersect("u_second", "v_second")) >= F.col("least"))
+        .where(
+            F.size(F.array_intersect("u_second.marks", "v_second.marks")) + F.least("u_second.lost", "v_second.lost")
+            >= F.col("least")
+        )
     )
     return both.select("u", "v").union(ties.select("u", "v"))
 
@@ -451,7 +484,8 @@ def ngram_join(
         members.join(blocks, "group").select("key", "class", "group", F.when(F.col("blocks") > 2, F.col("blocks")).otherwise(1).alias("blocks")), "members"
     )
     found = (
-        texts.join(wanted, "key")
+        with_wanted_keys(texts, wanted)
+        .join(wanted, "key")
         .select("text", "class", "group", "blocks")
         .mapInArrow(fetch_sets(size), "class bigint, group bigint, blocks int, tokens binary")
     )

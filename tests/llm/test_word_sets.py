@@ -113,3 +113,37 @@ def test_mirrored_texts_are_different(spark):
     assert sorted((r.doc_id, r.kept) for r in rows) == [(2, lines[0]), (3, lines[1])]
     rows = suffix_dedup(docs.where("doc_id < 2"), width=2048).collect()
     assert sorted((r.doc_id, bytes(r.kept).decode()) for r in rows) == [(0, words[0]), (1, words[1])]
+
+
+def test_texts_of_no_group_are_not_fetched(spark):
+    docs = spark.createDataFrame([(i, f"text number {i}") for i in range(3000)], "doc_id bigint, text string")
+    texts = ngram_join.keyed_texts(docs, "doc_id", "text")
+    found = {r.key.id for r in ngram_join.with_wanted_keys(texts, texts.where("key.id % 100 = 0")).collect()}
+    assert found >= set(range(0, 3000, 100)) and len(found) < 60
+
+
+@pytest.mark.parametrize("bit", [b"\0", b"\xff", b"\x5a"])
+def test_components_are_the_same_whatever_tokens_are_taken_for_frequent(spark, monkeypatch, bit):
+    """The sample orders tokens; counts and links are those of whole sets."""
+    monkeypatch.setattr(ngram_join, "frequent_tokens", lambda texts, size: bit * (1 << (ngram_join.BITMAP_BITS - 3)))
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(12):
+        words = [f"v{w}" for w in rng.integers(0, 50, 60)]
+        rows += [(3 * i, " ".join(words)), (3 * i + 1, " ".join([*words[:-2], "x"])), (3 * i + 2, " ".join(words[:40]))]
+    want = linked({i: shingles(text) for i, text in rows})
+    found = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.component_id for r in found} == want
+    assert {r.doc_id: r.n_shingles for r in found} == {i: len(shingles(text)) for i, text in rows}
+
+
+@pytest.mark.parametrize("bits", [16, 3])
+def test_marks_of_tokens_lose_no_pair(spark, monkeypatch, bits):
+    monkeypatch.setattr(ngram_join, "MARK_BITS", bits)
+    rng = np.random.default_rng(bits)
+    rows = []
+    for i in range(12):
+        words = [f"v{w}" for w in rng.integers(0, 900, 150)]
+        rows += [(3 * i, " ".join(words)), (3 * i + 1, " ".join([*words[:-9], "x"])), (3 * i + 2, " ".join(words[20:]))]
+    found = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.component_id for r in found} == linked({i: shingles(text) for i, text in rows})

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from lakehaul.llm.shared import written
+from lakehaul.llm.shared import held_by_worker, written
 
 #: Labelled documents that the tables are learned from, about, and those of each language
 #: that are learned from in any case.
@@ -48,6 +48,7 @@ FEATURES = "lang string, kind int, feature string, n bigint"
 
 def count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of words (kind 0) and n-grams (kind: their length), by batch."""
+    held_by_worker("language")
     for batch in batches:
         words: dict[str, Counter] = {}
         for lang, text in zip(
@@ -171,6 +172,7 @@ def predict(model, text_col: str) -> Callable:
     """Adds the language to rows in a struct column ``row``; the model is broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_by_worker("language")
         scorer = Scorer(model.value)
         for batch in batches:
             for at in range(0, batch.num_rows, TOGETHER):

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakehaul.llm import anchors
-from lakehaul.llm.shared import written
+from lakehaul.llm.shared import release_unused, written
 from lakehaul.llm.tokens import encoder
 
 #: Pieces of a shard, about.
@@ -233,6 +233,7 @@ def cut_rows(path: str, end: int, room: int) -> Callable:
                     ],
                     ["id", "row_check", "piece", "start", "length", "ids_crc32"],
                 )
+                release_unused()
 
     return run
 

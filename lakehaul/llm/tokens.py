@@ -26,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from lakehaul.llm.shared import held_by_worker
+
 #: Chunks kept by one Python worker.
 CACHE_CHUNKS = 600_000
 #: First chunks of texts kept by it.
@@ -38,7 +40,6 @@ _SPACES = r"[\t-\r\x1c-\x20\x{85}\p{Z}]{2}"
 #: Signs that are a part of their own, for Arrow's regular expressions.
 #: Not "]" and ">", which may end a special token.
 _STOPS, _APART = r"([\pL\pN])([!-/:-=?@\[\\^-`{-~]+)(\s|$)", r"\1 \2\3"
-_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
 class Encoder:
@@ -205,8 +206,10 @@ def _joined(found: list[bytes], number: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def encoder(path: str, joined_by_space: bool) -> Encoder:
-    """One per worker process: its cache serves all tasks that the worker runs."""
-    found = _ENCODERS.get((path, joined_by_space))
+    """One per worker process: its cache serves all tasks that the worker runs, until it runs
+    another operator that holds something."""
+    held = held_by_worker("encoders")
+    found = held.get((path, joined_by_space))
     if found is None:
-        found = _ENCODERS[path, joined_by_space] = Encoder(path, joined_by_space)
+        found = held[path, joined_by_space] = Encoder(path, joined_by_space)
     return found

@@ -1,12 +1,16 @@
 """What the operators hold in memory and move between tasks."""
 
+import types
+import weakref
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
 
-from lakehaul.llm import packing
+from lakehaul.llm import language_id, packing
 from lakehaul.llm.token_files import read_token_files, write_token_files
+from lakehaul.llm.tokens import encoder
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -39,3 +43,23 @@ def test_texts_are_packed_in_small_parts(monkeypatch):
     out = list(packing.cut_rows("", 2, 1024)(iter([batch])))
     assert sum(b.num_rows for b in out) == len(texts) and sum(sizes) == sum(map(len, texts))
     assert sorted(sizes)[-2] <= 5 << 20
+
+
+def test_a_worker_holds_the_tables_of_one_operator():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    first = weakref.ref(encoder(path, True))
+    assert first() is not None and encoder(path, True) is first()
+    row = pa.array([{"text": "a b"}])
+    batch = pa.RecordBatch.from_arrays([row], ["row"])
+    model = types.SimpleNamespace(value={"langs": ["en"], "evidence": [{"a": [0.0]}, {}, {}, {}, {}]})
+    (out,) = language_id.predict(model, "text")(iter([batch]))
+    assert out.column("lang_pred").to_pylist() == ["en"]
+    assert first() is None
+    assert encoder(path, True).encode(["a b"])
+
+
+def test_learning_a_language_lets_the_encoders_go():
+    first = weakref.ref(encoder(public_tokenizers.path("byte_bpe_50k.json"), True))
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array(["a b"])], ["lang", "text"])
+    assert list(language_id.count_features(iter([batch])))
+    assert first() is None

@@ -16,7 +16,8 @@ many they must have in common follows from the sizes: the overlap has to reach
    all pairs.  Tokens known to be frequent are counted before they are dealt, so that
    none of them has all its holders in one task.  Pairs that share too few tokens go.
 2. **Second order.**  A pair stays only if it shares enough prefix tokens under another
-   order as well.  No set has been moved up to here.
+   order as well.  A document's row holds 16-bit marks of that order's prefix, and a bitmap
+   keeps those of classes without a pair out of the shuffle.  No set has been moved up to here.
 3. **Groups.**  Pairs and ties are joined to connected groups.  Two similar classes are
    always in one group, and each group's sets are fetched once; a bitmap of their
    documents keeps the texts of all others out of that shuffle.
@@ -52,15 +53,17 @@ GROUP_TOKENS = 2_000_000
 SAMPLE = 16
 #: Bits of the bitmap of frequent tokens, as a power of two, and tokens put in it at most.
 BITMAP_BITS, BITMAP_TOKENS = 22, 1 << 20
-#: Bits of the bitmap of documents whose sets are compared, as a power of two.
+#: Bits of the bitmap of documents or classes that are wanted, as a power of two.
 KEY_BITS = 25
 #: Bits of a token by which pairs are compared under the second order, at most 16.
 MARK_BITS = 16
 #: Seeds of the token orders.
 ORDERS = (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47, 0xD1B54A32D192ED03)
 
-PREFIXES = ("rare", "often", "second")
-SETS = "key struct<id:bigint,check:bigint>, n int, class bigint, " + ", ".join(f"{p} array<bigint>" for p in PREFIXES)
+SETS = (
+    "key struct<id:bigint,check:bigint>, n int, class bigint, "
+    "rare array<bigint>, often array<bigint>, marks array<smallint>, lost int"
+)
 SHARES = "u bigint, v bigint, u_n bigint, v_n bigint, shared bigint"
 #: Prefix tokens that one numpy pass looks at.
 PASS_TOKENS = 1 << 17
@@ -132,36 +135,53 @@ def class_of(tokens: np.ndarray) -> int:
     return int(anchors.mix(np.array([total + np.uint64(len(tokens))])).view(np.int64)[0])
 
 
-def lists(arrays: list[np.ndarray]) -> pa.ListArray:
+def marks_of(tokens: np.ndarray, bits: int) -> np.ndarray:
+    """The sorted distinct short marks of tokens."""
+    return np.unique(anchors.mix(tokens) >> np.uint64(64 - bits)).astype(np.uint16)
+
+
+def lists(arrays: list[np.ndarray], kind: type = np.int64) -> pa.ListArray:
     offsets = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
-    flat = np.concatenate(arrays) if arrays else np.empty(0, np.uint64)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
+    flat = np.concatenate(arrays).view(kind) if arrays else np.empty(0, kind)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
-def make_sets(size: int, percent: int, bitmap: bytes) -> Callable:
-    """Size, class and prefixes of each text.  A task gives a class's prefixes once."""
+def make_sets(size: int, percent: int, bitmap: bytes, mark_bits: int) -> Callable:
+    """Size, class and prefixes of each text, of the second one only marks.  A task gives a
+    class's prefixes once."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(bitmap, np.uint8)
         none = np.empty(0, np.uint64)
         seen = set()
         for batch in batches:
-            sizes, classes, found = [], [], ([], [], [])
+            sizes, classes, lost, found = [], [], [], ([], [], [])
             for tokens in text_sets(batch.column("text"), size):
                 sizes.append(len(tokens))
                 classes.append(class_of(tokens) if len(tokens) else None)
                 rare = often = second = none
+                marks = none.astype(np.uint16)
                 if len(tokens) and classes[-1] not in seen:
                     seen.add(classes[-1])
                     first = prefix_of(tokens, ORDERS[0], bits, percent)
                     common = frequent(first, bits).astype(bool)
                     rare, often = first[~common], first[common]
                     second = prefix_of(tokens, ORDERS[1], bits, percent)
-                for column, prefix in zip(found, (rare, often, second), strict=True):
-                    column.append(prefix)
+                    marks = marks_of(second, mark_bits)
+                lost.append(len(second) - len(marks))
+                for column, part in zip(found, (rare, often, marks), strict=True):
+                    column.append(part)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), pa.array(sizes, pa.int32()), pa.array(classes, pa.int64()), *map(lists, found)],
-                ["key", "n", "class", *PREFIXES],
+                [
+                    batch.column("key"),
+                    pa.array(sizes, pa.int32()),
+                    pa.array(classes, pa.int64()),
+                    lists(found[0]),
+                    lists(found[1]),
+                    lists(found[2], np.int16),
+                    pa.array(lost, pa.int32()),
+                ],
+                ["key", "n", "class", "rare", "often", "marks", "lost"],
             )
 
     return make
@@ -258,11 +278,11 @@ def bitmap_of(hashes: DataFrame, bits: int) -> bytes:
     return bytes(bitmap)
 
 
-def with_wanted_keys(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The ``texts`` whose key is among those of ``wanted``, and a few others: what a bitmap lets
-    through, so that the others are not shuffled."""
-    hashed = F.xxhash64("key").alias("hash")
-    shared = texts.sparkSession.sparkContext.broadcast(bitmap_of(wanted.select(hashed), KEY_BITS))
+def with_wanted_keys(rows: DataFrame, wanted: DataFrame, column: str = "key") -> DataFrame:
+    """The ``rows`` whose ``column`` is among those of ``wanted``, and a few others: what a bitmap
+    lets through, so that the others are not shuffled."""
+    hashed = F.xxhash64(column).alias("hash")
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap_of(wanted.select(hashed), KEY_BITS))
 
     @F.pandas_udf("boolean")
     def held(hashes: pd.Series) -> pd.Series:
@@ -270,7 +290,7 @@ def with_wanted_keys(texts: DataFrame, wanted: DataFrame) -> DataFrame:
         bitmap = np.frombuffer(shared.value, np.uint8)
         return pd.Series((bitmap[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1)
 
-    return texts.where(held(hashed))
+    return rows.where(held(hashed))
 
 
 def frequent_tokens(texts: DataFrame, size: int) -> bytes:
@@ -423,16 +443,12 @@ def candidates(sets: DataFrame, percent: int) -> DataFrame:
         .select("u", "v", F.greatest(least, F.lit(1)).alias("least")),
         "first",
     )
-    nodes = first.select(F.explode(F.array("u", "v")).alias("class")).distinct()
+    nodes = written(first.select(F.explode(F.array("u", "v")).alias("class")).distinct(), "nodes")
     # Pairs carry short marks of their tokens. Tokens of a set that have one mark are one less
     # in the count, and so many are added to it: no pair is lost.
-    marks = F.array_distinct(
-        F.transform("second", lambda token: F.shiftright(F.xxhash64(token), 64 - MARK_BITS).cast("smallint"))
-    )
     second = (
-        sets.where(F.size("second") > 0)
-        .select("class", F.size("second").alias("size"), marks.alias("marks"))
-        .select("class", F.struct("marks", (F.col("size") - F.size("marks")).alias("lost")).alias("second"))
+        with_wanted_keys(sets.where(F.size("marks") > 0), nodes, "class")
+        .select("class", F.struct("marks", "lost").alias("second"))
         .join(nodes, "class", "left_semi")
         .groupBy("class")
         .agg(F.first("second").alias("second"))
@@ -470,7 +486,7 @@ def ngram_join(
     """
     texts = keyed_texts(docs, id_col, text_col)
     bitmap = frequent_tokens(texts, size)
-    sets = written(texts.mapInArrow(make_sets(size, percent, bitmap), SETS), "sets")
+    sets = written(texts.mapInArrow(make_sets(size, percent, bitmap, MARK_BITS), SETS), "sets")
     groups = components(candidates(sets, percent)).select(
         F.col("node").alias("class"), F.col("component").alias("group")
     )

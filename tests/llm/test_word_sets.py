@@ -147,3 +147,35 @@ def test_marks_of_tokens_lose_no_pair(spark, monkeypatch, bits):
         rows += [(3 * i, " ".join(words)), (3 * i + 1, " ".join([*words[:-9], "x"])), (3 * i + 2, " ".join(words[20:]))]
     found = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert {r.doc_id: r.component_id for r in found} == linked({i: shingles(text) for i, text in rows})
+
+
+def test_marks_of_the_second_order_are_short_from_the_start():
+    """A document's row holds two bytes a token of them, whatever is joined later."""
+    text = " ".join(f"v{i}" for i in range(3000))
+    key = pa.array([{"id": 1, "check": 1}])
+    batch = pa.RecordBatch.from_arrays([key, pa.array([text])], ["key", "text"])
+    make = ngram_join.make_sets(5, 80, bytes(1 << (ngram_join.BITMAP_BITS - 3)), 16)
+    (out,) = make(iter([batch]))
+    marks, lost = out.column("marks"), out.column("lost")[0].as_py()
+    assert marks.type == pa.list_(pa.int16())
+    n = out.column("n")[0].as_py()
+    assert len(set(marks[0].as_py())) == len(marks[0]) == n - int(ngram_join.beyond(np.int64(n), 80)) - lost
+    assert "second" not in out.schema.names
+
+
+def test_marks_of_classes_without_a_pair_are_not_shuffled(spark, monkeypatch):
+    asked = []
+    keep = ngram_join.with_wanted_keys
+
+    def spy(rows, wanted, column="key"):
+        found = keep(rows, wanted, column)
+        asked.append((column, rows.count(), found.count()))
+        return found
+
+    monkeypatch.setattr(ngram_join, "with_wanted_keys", spy)
+    words = [[f"w{i}x{j}" for j in range(60)] for i in range(300)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(words)] + [(900, " ".join([*words[0][:-1], "other"]))]
+    found = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id for r in found if r.component_id != r.doc_id} == {900}
+    assert [n for column, n, _ in asked if column == "class"] == [301]
+    assert all(kept < 20 for _, _, kept in asked)

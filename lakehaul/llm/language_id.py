@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from lakehaul.llm.shared import held_by_worker, written
+from lakehaul.llm.shared import giving_back, held_by_worker, written
 
 #: Labelled documents that the tables are learned from, about, and those of each language
 #: that are learned from in any case.
@@ -188,7 +188,7 @@ def predict(model, text_col: str) -> Callable:
                     [*part.schema.names, "lang_pred", "score"],
                 )
 
-    return run
+    return giving_back(run)
 
 
 def held_out(id_col: str):

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from lakehaul.llm import anchors
 from lakehaul.llm.components import components
 from lakehaul.llm.repeats import PASS_SYMBOLS, text_bytes, words_by_row
-from lakehaul.llm.shared import keyed_texts, rows_of_keys, written
+from lakehaul.llm.shared import giving_back, keyed_texts, rows_of_keys, written
 
 #: Holders of a token that are paired with one another.
 LIST = 256
@@ -184,7 +184,7 @@ def make_sets(size: int, percent: int, bitmap: bytes, mark_bits: int) -> Callabl
                 ["key", "n", "class", "rare", "often", "marks", "lost"],
             )
 
-    return make
+    return giving_back(make)
 
 
 def token_rows(size: int) -> Callable:
@@ -193,7 +193,7 @@ def token_rows(size: int) -> Callable:
             column = lists(list(text_sets(batch.column("text"), size))).flatten()
             yield pa.RecordBatch.from_arrays([column], ["token"])
 
-    return rows
+    return giving_back(rows)
 
 
 def list_pairs(classes: np.ndarray, sizes: np.ndarray, begins: np.ndarray, lengths: np.ndarray, percent: int) -> Iterator[tuple]:
@@ -260,7 +260,7 @@ def share_rows(percent: int, most: int) -> Callable:
         for columns in scan(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["u", "v", "u_n", "v_n", "shared"])
 
-    return share
+    return giving_back(share)
 
 
 def bitmap_of(hashes: DataFrame, bits: int) -> bytes:
@@ -385,7 +385,7 @@ def fetch_sets(size: int) -> Callable:
                 ["class", "group", "blocks", "tokens"],
             )
 
-    return fetch
+    return giving_back(fetch)
 
 
 def often_shares(sets: DataFrame, percent: int) -> DataFrame:

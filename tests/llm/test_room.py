@@ -8,7 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
 
-from lakehaul.llm import language_id, packing
+from lakehaul.llm import language_id, ngram_join, packing, shared
 from lakehaul.llm.token_files import read_token_files, write_token_files
 from lakehaul.llm.tokens import encoder
 
@@ -63,3 +63,39 @@ def test_learning_a_language_lets_the_encoders_go():
     batch = pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array(["a b"])], ["lang", "text"])
     assert list(language_id.count_features(iter([batch])))
     assert first() is None
+
+
+def texts_with_keys(texts):
+    ids = pa.array(range(len(texts)), pa.int64())
+    key = pa.StructArray.from_arrays([ids, ids], ["id", "check"])
+    return pa.RecordBatch.from_arrays([key, ids, ids, ids, pa.array(texts)], ["key", "class", "group", "blocks", "text"])
+
+
+def shares_of_a_token():
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in ([1, 1], [1, 2], [5, 5])], ["token", "class", "n"])
+
+
+@pytest.mark.parametrize(
+    ("run", "batch"),
+    [
+        (lambda: ngram_join.make_sets(5, 80, bytes(1 << 19), 16), lambda: texts_with_keys(["a b c", None, ""])),
+        (lambda: ngram_join.token_rows(5), lambda: texts_with_keys(["a b c", None, ""])),
+        (lambda: ngram_join.fetch_sets(5), lambda: texts_with_keys(["a b c", None, ""])),
+        (lambda: ngram_join.share_rows(80, 256), shares_of_a_token),
+        (
+            lambda: language_id.predict(types.SimpleNamespace(value={"langs": [], "evidence": [{}] * 5}), "text"),
+            lambda: pa.RecordBatch.from_arrays([pa.array([{"text": "a b"}])], ["row"]),
+        ),
+    ],
+    ids=["make_sets", "token_rows", "fetch_sets", "share_rows", "predict"],
+)
+def test_a_worker_gives_freed_memory_back_when_its_task_ends(monkeypatch, run, batch):
+    gone, released = [], []
+
+    def batches():
+        yield batch()
+        gone.append(True)
+
+    monkeypatch.setattr(shared, "release_unused", lambda: released.append(bool(gone)))
+    assert sum(b.num_rows for b in run()(batches()))
+    assert released and released[-1]
